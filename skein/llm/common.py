@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.plans.storage import scratch, shared_folder
+
+__all__ = ["BATCH_ROWS", "crc_is", "keyed_text", "labelled_sample", "logistic", "scratch", "shared_folder", "short_batches", "sigmoid", "table"]
+
 #: Rows per Arrow batch handed to Python; keeps a worker's memory a few MB above its longest text.
 BATCH_ROWS = 512
 
@@ -34,27 +35,6 @@ def crc_is(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = known.get() if known.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives a lost executor, goes when the JVM ends."""
-    at = os.path.join(shared_folder(spark), f"skein-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, reserved: Callable[[Column], Column], per_class: int, longest: int) -> tuple[list[tuple[str, int, int]], tuple[int, int]]:
     """A bounded sample of (text, label, doc_id) and the full counts of both classes.
 

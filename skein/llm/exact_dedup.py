@@ -44,7 +44,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # first() of a string keeps the aggregate sort-based: neighbours of the sorted range are compared in full
     heads = dealt.groupBy("head", "digest", "slot", "norm").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"), F.first("digest").alias("same"))
-    heads = scratch(spark, heads.select("digest", "slot", "top", "n", F.when(F.col("slot") >= 0, F.col("norm")).alias("norm")), "heads")
+    heads = scratch(spark, heads.select(F.col("same").alias("digest"), "slot", "top", "n", F.when(F.col("slot") >= 0, F.col("norm")).alias("norm")), "heads")
     cold = heads.where("slot < 0").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
     joined = heads.where("slot >= 0").groupBy("digest", "norm").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size")).drop("norm")
     return ids, cold.unionByName(joined)
