@@ -3,9 +3,10 @@
 A document is its set of five-word shingles. COORDINATES minwise tokens of the set are its sketch; two sets of similarity s
 agree in a share s of them. Each of TREES independent trees sends a document to the node of one of its minwise tokens.
 Small nodes (up to SMALL documents) are compared exhaustively. In a larger node all are compared with one pivot; if any
-is not like the pivot, the whole node is branched by BRANCHES further tokens, until nodes are small or all alike. A pair of
-similarity 0.85 meets in a tree's first node with probability 0.85 and stays together in a branching with 0.98, so that
-ten trees miss it with a probability below 1e-5 even several levels down.
+is not like the pivot, the whole node is branched by one further token, and by a second one with probability SECOND, until
+nodes are small or all alike. With 1 + SECOND = 1 / 0.85 branches a pair at the threshold has one common child on average,
+so the work does not grow from level to level, while less similar pairs part. A pair meets in the first node of a tree
+with probability 0.85; ten trees miss it in nodes of up to SMALL documents with probability 6e-9.
 
 Comparisons on sketches (AGREE of COORDINATES tokens, which a pair of similarity 0.85 misses with probability 1e-8, and the
 exact bound on set sizes) only say which documents belong in one cluster. Links are confirmed on full sets within clusters:
@@ -33,9 +34,11 @@ from skein.llm.common import keyed_text, scratch, short_batches, table
 from skein.llm.shingles import common, mix, shingle_sets
 from skein.operators.components import connected_components
 
-TREES, COORDINATES, AGREE, BRANCHES = 10, 48, 24, 2
+TREES, COORDINATES, AGREE, SECOND = 10, 48, 24, 0.18
+#: Documents of a node that are compared in one go with those of others.
+FEW = 8
 #: Documents of a node that is compared exhaustively; levels after which a node goes to one cluster as it is.
-SMALL, LEVELS = 64, 24
+SMALL, LEVELS = 1000, 24
 #: Documents and shingles of a cluster that one task takes.
 CLUSTER, CLUSTER_SHINGLES, PIVOTS, SHARD = 400, 2_000_000, 16, 400
 
@@ -137,16 +140,24 @@ def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
         for t in groups(batches, 1):
             node, ids = t.column(0).to_numpy(), t.column(1).to_pylist()
             n, s = t.column(2).to_numpy(), _sketches(t.column(3))
-            a, b = [], []
-            for d in range(1, min(SMALL, len(node))):
-                i = np.flatnonzero(node[:-d] == node[d:])
-                if not len(i):
-                    break
+            start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            size = np.diff(np.r_[start, len(node)])
+            few = np.repeat(size <= FEW, size)
+            forest, kept = Forest(), []
+            for d in range(1, FEW):
+                i = np.flatnonzero((node[:-d] == node[d:]) & few[:-d])
                 i = i[alike(s[i], n[i], s[i + d], n[i + d], percent)]
-                a += i.tolist()
-                b += (i + d).tolist()
-            forest = Forest()
-            kept = [(ids[x], ids[y]) for x, y in zip(a, b, strict=True) if ids[x] != ids[y] and forest.join(x, y)]
+                kept += [(ids[x], ids[x + d]) for x in i.tolist() if ids[x] != ids[x + d] and forest.join(x, x + d)]
+            for at, m in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+                group, sizes, part = s[at : at + m], n[at : at + m], np.arange(m)
+                for k in range(m - 1):
+                    like = alike(group[k + 1 :], sizes[k + 1 :], group[k], sizes[k], percent)
+                    for j in (k + 1 + np.flatnonzero(like & (part[k + 1 :] != part[k]))).tolist():
+                        if part[j] != part[k]:
+                            part[part == part[j]] = part[k]
+                            kept.append((ids[at + k], ids[at + j]))
+                    if (part == part[0]).all():
+                        break
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()), pa.array([y for _, y in kept], pa.binary())], ["a", "b"])
 
     dealt = rows.select("node", "digest", "n", "sketch").repartition("node").sortWithinPartitions("node")
@@ -193,8 +204,9 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         span = COORDINATES - TREES
         first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(span))
         step = F.lit(1) + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(span - 1))
-        tokens = [F.pmod(first + k * step, F.lit(span)) + TREES for k in range(BRANCHES)]
-        children = F.array(*(F.xxhash64("node", t, F.substring(F.col("sketch"), (8 * t + 1).cast("int"), F.lit(8))) for t in tokens))
+        one, two = (F.xxhash64("node", t, F.substring(F.col("sketch"), (8 * t + 1).cast("int"), F.lit(8))) for t in (F.pmod(first + k * step, F.lit(span)) + TREES for k in range(2)))
+        twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(100)) < round(100 * SECOND)
+        children = F.when(twice, F.array(one, two)).otherwise(F.array(one))
         placed = scratch(spark, tried.join(mixed, "node", "left_semi").select(F.explode(children).alias("node"), "digest"), "branches")
 
 
