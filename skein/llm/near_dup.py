@@ -190,7 +190,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         large = met.where(F.col("size") > SMALL)
         if large.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
-            return edges.distinct()
+            return edges
         pivots = large.select("node", "pivot").distinct().join(classes.select(F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").drop("pivot")
         tried = scratch(spark, compare_pivots(rows.where(F.col("size") > SMALL).join(pivots, "node"), percent), "tried")
         level += 1
@@ -200,7 +200,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         mixed = tried.where("NOT like").select("node").distinct()
         if level == LEVELS or mixed.isEmpty():
-            return edges.distinct()
+            return edges
         span = COORDINATES - TREES
         first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(span))
         step = F.lit(1) + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(span - 1))
@@ -282,8 +282,8 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     every = scratch(spark, sketched(docs), "sketches")
     classes = scratch(spark, every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    near = connected_components(scratch(spark, candidate_edges(classes.select("digest", "n", "sketch"), percent), "pairs"))
-    clusters = near.select(F.col("node").alias("digest"), F.col("component").alias("cluster")).join(classes.select("digest", "first", "n"), "digest")
+    near = connected_components(candidate_edges(classes.select("digest", "n", "sketch"), percent))
+    clusters = scratch(spark, near.select(F.col("node").alias("digest"), F.col("component").alias("cluster")).join(classes.select("digest", "first", "n"), "digest"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     wanted = clusters.join(sizes, "cluster").where("first IS NOT NULL")
     texts = keyed_text(docs).withColumnRenamed("doc_id", "first")
@@ -318,7 +318,7 @@ def large_roots(spark: SparkSession, large: DataFrame, percent: int) -> DataFram
         key = F.concat_ws("/", "shard", "block")
         met = rows.drop("block").join(blocks, "cluster")
         links = links.unionByName(confirm_shards(met.withColumn("shard", key), fixed.withColumn("shard", key), percent).where("b IS NOT NULL"))
-    found = connected_components(scratch(spark, links, "links"))
+    found = connected_components(links)
     return found.select(F.col("node").alias("digest"), F.col("component").alias("root"))
 
 
