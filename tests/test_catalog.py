@@ -45,9 +45,10 @@ def test_components_by_union_find(spark):
     for a, b in edges:
         if a is not None:
             up[max(find(a), find(b))] = min(find(a), find(b))
-    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     ends = {x for a, b in edges if a is not None and a != b for x in (a, b)}
-    assert got == {x: find(x) for x in ends}
+    for one_task in (0, 300_000):
+        got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+        assert got == {x: find(x) for x in ends}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
