@@ -247,27 +247,28 @@ def confirm_shards(members: DataFrame, fixed: DataFrame, percent: int) -> DataFr
 
     def run(batches):
         pins: list[tuple[bytes, np.ndarray, np.ndarray]] = []
-        here, forest = None, Forest()
+        here, forest, stacked = None, Forest(), None
         for b in batches:
             out = []
             cols = [c.to_pylist() for c in b.columns]
             sets = shingle_sets(cols[4])
             for cluster, shard, pinned, d, s in zip(*cols[:4], sets, strict=True):
                 if (cluster, shard) != here:
-                    here, pins, forest = (cluster, shard), [], Forest()
+                    here, pins, forest, stacked = (cluster, shard), [], Forest(), None
                 if digest(s) != d:
                     continue
                 if pinned:
                     pins.append((d, s, sketch(s)))
                     continue
-                mine, any_ = sketch(s), False
-                for p, q, theirs in pins:
-                    if p == d or (any_ and forest.find(p) == forest.find(d)):
-                        continue
-                    if (mine == theirs).sum() >= AGREE and linked(q, s, percent):
-                        any_ = True
+                if stacked is None:
+                    stacked = (np.stack([k for _, _, k in pins]), np.array([len(q) for _, q, _ in pins])) if pins else (np.zeros((0, COORDINATES), np.uint64), np.zeros(0, int))
+                any_ = False
+                for k in np.flatnonzero(alike(stacked[0], stacked[1], sketch(s), len(s), percent)).tolist():
+                    p, q, _ = pins[k]
+                    if p != d and forest.find(p) != forest.find(d) and linked(q, s, percent):
                         forest.join(p, d)
                         out.append((d, p))
+                    any_ |= p != d and forest.find(p) == forest.find(d)
                 if not any_:
                     out.append((d, None))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["a", "b"])
