@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import keyed_text, short_batches, table
 from skein.llm.shingles import WIDTH, shingles_of, words_of
 
-ITEMS_AT_ONCE = 5_000
+ITEMS_AT_ONCE = 1_000
 SIMILAR = 0.8
 BLOCK_BITS, BLOCK_RADIUS = 16, 5
 RADIUS = 4 * (BLOCK_RADIUS + 1) - 1
@@ -79,23 +79,30 @@ class Benchmark:
         self.known = np.sort(np.array([s for s, v in holders.items() if v - set(self.short)], np.uint64))
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.known >> np.uint64(42)).astype(np.int64)] = True
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def table(self, length: int) -> list[dict[int, list[int]]]:
-        """For each block of bits: block value -> items of this length within BLOCK_RADIUS of it; made when first asked."""
+    def table(self, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block of bits: sorted block values within BLOCK_RADIUS of an item's, and these items; made when asked."""
         if length not in self.tables:
-            near = near_blocks()
-            blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(64 // BLOCK_BITS)]
-            for i in self.by_length[length]:
-                for k, values in enumerate(blocks):
-                    for v in (near ^ (self.prints[i] >> (BLOCK_BITS * k) & 0xFFFF)).tolist():
-                        values[v].append(i)
+            near, items = near_blocks(), np.array(self.by_length[length], np.int32)
+            prints = np.array([self.prints[i] for i in items], np.uint64)
+            blocks = []
+            for k in range(64 // BLOCK_BITS):
+                own = (prints >> np.uint64(BLOCK_BITS * k)).astype(np.uint16)
+                values = (own[:, None] ^ near.astype(np.uint16)[None, :]).ravel()
+                order = np.argsort(values, kind="stable")
+                blocks.append((values[order], np.repeat(items, len(near))[order]))
             self.tables[length] = blocks
         return self.tables[length]
 
     def candidates(self, print_: int, length: int) -> set[int]:
         """Items of a length whose fingerprint is within RADIUS bits."""
-        found = {i for k, values in enumerate(self.table(length)) for i in values.get(print_ >> (BLOCK_BITS * k) & 0xFFFF, ())}
+        found: set[int] = set()
+        for k, (values, items) in enumerate(self.table(length)):
+            v = np.uint16(print_ >> (BLOCK_BITS * k) & 0xFFFF)
+            a, b = values.searchsorted(v, "left"), values.searchsorted(v, "right")
+            if a < b:
+                found.update(items[a:b].tolist())
         return {i for i in found if (self.prints[i] ^ print_).bit_count() <= RADIUS}
 
     def matches(self, words: np.ndarray, hits: np.ndarray, shingles: np.ndarray, similar: float) -> list[tuple[int, float, int, int]]:
