@@ -2,9 +2,10 @@
 
 A document is its set of five-word shingles. COORDINATES minwise tokens of the set are its sketch; two sets of similarity s
 agree in a share s of them. Each of TREES independent trees sends a document to the node of one of its minwise tokens.
-Small nodes (up to SMALL documents) are compared exhaustively. In a larger node all are compared with one pivot; if any
-is not like the pivot, the whole node is branched by one further token, and by a second one with probability SECOND, until
-nodes are small or all alike. With 1 + SECOND = 1 / 0.85 branches a pair at the threshold has one common child on average,
+Small nodes (up to SMALL documents) are compared exhaustively. In a larger node all are compared with NODE_PIVOTS pivots;
+documents that the pivots join into one group need no comparison among themselves. Where at most OUTSIDE documents are
+outside the largest group, those are compared with the whole node, which finds all that exhaustive comparison would. Any
+other node is branched as a whole by one further token, and by a second one with probability SECOND. With 1 + SECOND = 1 / 0.85 branches a pair at the threshold has one common child on average,
 so the work does not grow from level to level, while less similar pairs part. A pair meets in the first node of a tree
 with probability 0.85; ten trees miss it in nodes of up to SMALL documents with probability 6e-9.
 
@@ -24,13 +25,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import keyed_text, scratch, short_batches, table
+from skein.llm.common import BATCH_ROWS, keyed_text, scratch, short_batches, table
 from skein.llm.shingles import common, mix, shingle_sets
 from skein.operators.components import connected_components
 
@@ -39,6 +41,9 @@ TREES, COORDINATES, AGREE, SECOND = 10, 48, 24, 0.18
 FEW = 8
 #: Documents of a node that is compared exhaustively; levels after which a node goes to one cluster as it is.
 SMALL, LEVELS = 1000, 24
+#: Pivots of a larger node (60 at most); rows outside their largest group that are compared with the whole node; rows of a
+#: node that one task compares.
+NODE_PIVOTS, OUTSIDE, NODE_SHARD = 8, 256, 2000
 #: Documents and shingles of a cluster that one task takes.
 CLUSTER, CLUSTER_SHINGLES, PIVOTS, SHARD = 400, 2_000_000, 16, 400
 
@@ -164,50 +169,97 @@ def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: node, digest, n, sketch, pivot, pivot_n, pivot_sketch. Adds `like`: may be linked with the node's pivot."""
+def compare_fixed(rows: DataFrame, fixed: DataFrame, percent: int) -> DataFrame:
+    """Compare the rows of each (node, shard) with its fixed rows; both: node, shard, digest, n, sketch.
+
+    Returns the rows' node, digest, n and sketch; mask, the fixed ones (of the first 63, by digest) that may be linked with
+    the row; and likes, the part of them that a spanning forest of the shard needs.
+    """
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            like = alike(_sketches(b.column(3)), b.column(2).to_numpy(), _sketches(b.column(6)), b.column(5).to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(like)], ["node", "digest", "n", "sketch", "pivot", "like"])
+        for t in groups(batches, 2):
+            node, shard, pinned = t.column(0).to_numpy(), t.column(1).to_numpy(), np.array(t.column(2).to_pylist(), bool)
+            ids, n, s = t.column(3).to_pylist(), t.column(4).to_numpy(), _sketches(t.column(5))
+            start = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (shard[1:] != shard[:-1])]).tolist()
+            mask, likes = np.zeros(len(node), np.int64), [[] for _ in ids]
+            for at, end in zip(start, [*start[1:], len(node)], strict=True):
+                first, forest = at + int(pinned[at:end].sum()), Forest()
+                for k in range(at, first):
+                    hit = first + np.flatnonzero(alike(s[first:end], n[first:end], s[k], n[k], percent))
+                    if k - at < 63:
+                        mask[hit] |= 1 << (k - at)
+                    for j in hit.tolist():
+                        if ids[j] != ids[k] and forest.join(ids[j], ids[k]):
+                            likes[j].append(ids[k])
+            got = t.select([0, 3, 4, 5]).append_column("mask", pa.array(mask)).append_column("likes", pa.array(likes, pa.list_(pa.binary())))
+            yield from got.filter(pa.array(~pinned)).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
+
+    cols = ["digest", "n", "sketch"]
+    both = rows.select("node", "shard", F.lit(False).alias("pinned"), *cols).unionByName(fixed.select("node", "shard", F.lit(True).alias("pinned"), *cols))
+    dealt = both.repartition("node", "shard").sortWithinPartitions("node", "shard", F.desc("pinned"), "digest")
+    return dealt.mapInArrow(run, "node long, digest binary, n long, sketch binary, mask long, likes array<binary>")
+
+
+def _sharded(rows: DataFrame) -> DataFrame:
+    """Adds the shard of a row in its node of `size` rows."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("digest", F.lit(3)), F.ceil(F.col("size") / NODE_SHARD)))
+
+
+def _in_all_shards(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / NODE_SHARD) - 1)))
+
+
+def node_states(tried: DataFrame) -> DataFrame:
+    """node, size, reach, outside: the pivots (as bits) of the largest group that rows join, and the rows outside it."""
+    masks = tried.groupBy("node", "mask").agg(F.count("*").alias("rows")).groupBy("node").agg(F.sum("rows").alias("size"), F.collect_list(F.struct("mask", "rows")).alias("masks"))
+
+    def grown(start):
+        take = lambda reach, m: F.when(reach.bitwiseAND(m["mask"]) != 0, reach.bitwiseOR(m["mask"])).otherwise(reach)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(NODE_PIVOTS)), start, lambda reach, _: F.aggregate("masks", reach, take))
 
-    return rows.select("node", "digest", "n", "sketch", "pivot", "pivot_n", "pivot_sketch").mapInArrow(run, "node long, digest binary, n long, sketch binary, pivot binary, like boolean")
+    reaches = F.transform(F.array(*(F.lit(1 << k).cast("long") for k in range(NODE_PIVOTS))), grown)
+    held = lambda reach: F.aggregate("masks", F.lit(0).cast("long"), lambda n, m: n + F.when(reach.bitwiseAND(m["mask"]) != 0, m["rows"]).otherwise(F.lit(0).cast("long")))
+    best = masks.select("node", "size", "masks", F.explode(reaches).alias("reach")).select("node", "size", "reach", held(F.col("reach")).alias("held"))
+    return best.groupBy("node", "size").agg(F.max_by("reach", F.struct("held", "reach")).alias("reach"), F.max("held").alias("held")).select("node", "size", "reach", (F.col("size") - F.col("held")).alias("outside"))
 
 
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) between classes that may be linked, by all trees; classes: digest, n, sketch."""
     spark = classes.sparkSession
     roots = [F.xxhash64(F.lit(r), F.substring("sketch", 8 * r + 1, 8)) for r in range(TREES)]
-    placed, edges, level = classes.select(F.explode(F.array(*roots)).alias("node"), "digest"), None, 0
+    placed, level = classes.select(F.explode(F.array(*roots)).alias("node"), "digest"), 0
+    small, edges, rest, others = [], [], [], []
     while True:
-        sizes = placed.groupBy("node").agg(F.count("*").alias("size"), F.min_by("digest", F.xxhash64("node", "digest")).alias("pivot")).where("size > 1")
+        sizes = placed.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         met = scratch(spark, placed.join(sizes, "node"), "nodes")
-        rows = met.join(classes, "digest")
-        found = compare_nodes(rows.where(F.col("size") <= SMALL), percent)
+        small.append(met.where(F.col("size") <= SMALL))
         large = met.where(F.col("size") > SMALL)
         if large.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            return edges
-        pivots = large.select("node", "pivot").distinct().join(classes.select(F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")), "pivot").drop("pivot")
-        tried = scratch(spark, compare_pivots(rows.where(F.col("size") > SMALL).join(pivots, "node"), percent), "tried")
+            break
         level += 1
-        together = tried.where("digest != pivot") if level == LEVELS else tried.where("like AND digest != pivot")
-        found = found.unionByName(together.select(F.col("digest").alias("a"), F.col("pivot").alias("b")))
-        found = scratch(spark, found, "candidates")
-        edges = found if edges is None else edges.unionByName(found)
-        mixed = tried.where("NOT like").select("node").distinct()
-        if level == LEVELS or mixed.isEmpty():
-            return edges
+        pivots = large.groupBy("node", F.pmod(F.xxhash64("node", "digest"), F.lit(NODE_PIVOTS))).agg(F.min("digest").alias("digest"), F.first("size").alias("size"))
+        tried = scratch(spark, compare_fixed(_sharded(large.join(classes, "digest")), _in_all_shards(pivots.join(classes, "digest")), percent), "tried")
+        edges.append(tried.select(F.col("digest").alias("a"), F.explode("likes").alias("b")))
+        states = scratch(spark, node_states(tried), "states")
+        near = tried.join(states.where(F.col("outside").between(1, OUTSIDE)), "node")
+        rest.append(near)
+        others.append(near.where(F.col("mask").bitwiseAND(F.col("reach")) == 0))
+        deep = tried.join(states.where(F.col("outside") > OUTSIDE), "node")
+        if level == LEVELS:
+            edges.append(deep.select("node", F.col("digest").alias("a")).join(pivots.groupBy("node").agg(F.min("digest").alias("b")), "node").select("a", "b"))
+            break
         span = COORDINATES - TREES
         first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(span))
         step = F.lit(1) + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(span - 1))
         one, two = (F.xxhash64("node", t, F.substring(F.col("sketch"), (8 * t + 1).cast("int"), F.lit(8))) for t in (F.pmod(first + k * step, F.lit(span)) + TREES for k in range(2)))
         twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(100)) < round(100 * SECOND)
         children = F.when(twice, F.array(one, two)).otherwise(F.array(one))
-        placed = scratch(spark, tried.join(mixed, "node", "left_semi").select(F.explode(children).alias("node"), "digest"), "branches")
+        placed = scratch(spark, deep.select(F.explode(children).alias("node"), "digest"), "branches")
+    edges.append(compare_nodes(reduce(DataFrame.unionByName, small).join(classes, "digest"), percent))
+    if rest:
+        finished = compare_fixed(_sharded(reduce(DataFrame.unionByName, rest)), _in_all_shards(reduce(DataFrame.unionByName, others)), percent)
+        edges.append(finished.select(F.col("digest").alias("a"), F.explode("likes").alias("b")))
+    return reduce(DataFrame.unionByName, edges)
 
 
 def confirm_clusters(members: DataFrame, percent: int) -> DataFrame:

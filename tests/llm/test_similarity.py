@@ -46,7 +46,7 @@ def test_components_equal_brute_force(spark, monkeypatch):
     expected = plain_components(rows, 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(docs).collect()}
     assert got == expected
-    for name, value in (("SMALL", 5), ("CLUSTER", 6), ("SHARD", 6)):
+    for name, value in (("SMALL", 5), ("OUTSIDE", 2), ("NODE_SHARD", 7), ("CLUSTER", 6), ("SHARD", 6)):
         monkeypatch.setattr(near_dup, name, value)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(docs).collect()} == expected
     assert near_dup.components(docs.where("false")).count() == 0
