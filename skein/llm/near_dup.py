@@ -11,7 +11,8 @@ with probability 0.85; ten trees miss it in nodes of up to SMALL documents with
 
 Comparisons on sketches (AGREE of COORDINATES tokens, which a pair of similarity 0.85 misses with probability 1e-8, and the
 exact bound on set sizes) only say which documents belong in one cluster. Links are confirmed on full sets within clusters:
-a small cluster in one task; a large one in shards against sixteen pivots, and what no pivot links against all shards.
+a small cluster in one task; a large one in shards against sixteen pivots, and all outside the largest component that these
+links make against all shards.
 Documents of equal sets form one class, which takes part once.
 
 Nothing that follows the corpus reaches the driver; groups meet in one task only where their size is bounded.
@@ -46,6 +47,8 @@ SMALL, LEVELS = 1000, 24
 NODE_PIVOTS, OUTSIDE, NODE_SHARD = 8, 256, 2000
 #: Documents and shingles of a cluster that one task takes.
 CLUSTER, CLUSTER_SHINGLES, PIVOTS, SHARD = 400, 2_000_000, 16, 400
+#: Postings that are added up at a time.
+POSTINGS = 1 << 20
 
 _SEED = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _FACTOR = mix(_SEED) | np.uint64(1)
@@ -97,6 +100,34 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+class Overlaps:
+    """Links of one set with many, on full sets, by an inverted index over the shingles of the many."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(every, kind="stable")
+        self.of = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        every = every[order]
+        self.first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        self.shingles, self.count = every[self.first], np.diff(np.r_[self.first, len(every)])
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """The places of the sets with 100 * intersection >= percent * union."""
+        if not len(self.shingles):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        at = at[self.shingles[at] == s]
+        ends, both, low = np.cumsum(self.count[at]), np.zeros(len(self.sizes), np.int64), 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + POSTINGS, "right")))
+            first, count = self.first[at[low:high]], self.count[at[low:high]]
+            places = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+            both += np.bincount(self.of[places], minlength=len(self.sizes))
+            low = high
+        return np.flatnonzero(100 * both >= percent * (len(s) + self.sizes - both))
+
+
 class Forest:
     """Union-find over what it is asked about."""
 
@@ -298,29 +329,29 @@ def confirm_shards(members: DataFrame, fixed: DataFrame, percent: int) -> DataFr
     """
 
     def run(batches):
-        pins: list[tuple[bytes, np.ndarray, np.ndarray]] = []
-        here, forest, stacked = None, Forest(), None
+        pins: list[tuple[bytes, np.ndarray]] = []
+        here, forest, overlaps = None, Forest(), None
         for b in batches:
             out = []
             cols = [c.to_pylist() for c in b.columns]
             sets = shingle_sets(cols[4])
             for cluster, shard, pinned, d, s in zip(*cols[:4], sets, strict=True):
                 if (cluster, shard) != here:
-                    here, pins, forest, stacked = (cluster, shard), [], Forest(), None
+                    here, pins, forest, overlaps = (cluster, shard), [], Forest(), None
                 if digest(s) != d:
                     continue
                 if pinned:
-                    pins.append((d, s, sketch(s)))
+                    pins.append((d, s))
                     continue
-                if stacked is None:
-                    stacked = (np.stack([k for _, _, k in pins]), np.array([len(q) for _, q, _ in pins])) if pins else (np.zeros((0, COORDINATES), np.uint64), np.zeros(0, int))
+                if overlaps is None:
+                    overlaps, pins = Overlaps([q for _, q in pins]), [(p, None) for p, _ in pins]
                 any_ = False
-                for k in np.flatnonzero(alike(stacked[0], stacked[1], sketch(s), len(s), percent)).tolist():
-                    p, q, _ = pins[k]
-                    if p != d and forest.find(p) != forest.find(d) and linked(q, s, percent):
-                        forest.join(p, d)
-                        out.append((d, p))
-                    any_ |= p != d and forest.find(p) == forest.find(d)
+                for k in overlaps.linked(s, percent).tolist():
+                    p = pins[k][0]
+                    if p != d:
+                        any_ = True
+                        if forest.join(p, d):
+                            out.append((d, p))
                 if not any_:
                     out.append((d, None))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["a", "b"])
@@ -354,7 +385,7 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def large_roots(spark: SparkSession, large: DataFrame, percent: int) -> DataFrame:
-    """(digest, root) of clusters that no single task takes: shards against pivots, then the unlinked against all shards."""
+    """(digest, root) of clusters that no single task takes: shards against pivots, then all outside the largest component against all shards."""
     shards = F.ceil(F.greatest(F.col("size") / SHARD, F.col("shingles") / CLUSTER_SHINGLES)).cast("int")
     rows = large.withColumn("shards", F.greatest(shards, F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int"))
     pivots = rows.groupBy("cluster", F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(PIVOTS)).alias("salt")).agg(F.min("digest").alias("digest")).select("cluster", "digest")
@@ -362,10 +393,15 @@ def large_roots(spark: SparkSession, large: DataFrame, percent: int) -> DataFram
     everywhere = pinned.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     first = scratch(spark, confirm_shards(rows, everywhere, percent), "pivot-links")
     links = first.where("b IS NOT NULL")
-    alone = first.where("b IS NULL").select(F.col("a").alias("digest")).join(pivots.select("digest"), "digest", "left_anti")
-    if not alone.isEmpty():
-        # blocks of unlinked classes meet every shard; shard number and block number make one key
-        left = rows.join(alone, "digest", "left_semi").withColumn("block", F.pmod(F.xxhash64("digest", F.lit(2)), F.ceil(F.col("shards") / 4)).cast("int"))
+    joined = connected_components(links).select(F.col("node").alias("digest"), "component")
+    parts = rows.select("cluster", "digest").distinct().join(joined, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    largest = parts.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    # the largest component needs nothing more among its own; pivots have met every shard
+    apart = parts.join(largest, "cluster").where("component <> largest").select("digest").join(pivots.select("digest"), "digest", "left_anti")
+    apart = scratch(spark, apart, "apart")
+    if not apart.isEmpty():
+        # blocks of such classes meet every shard; shard number and block number make one key
+        left = rows.join(apart, "digest", "left_semi").withColumn("block", F.pmod(F.xxhash64("digest", F.lit(2)), F.ceil(F.col("shards") / 4)).cast("int"))
         blocks = left.select("cluster", "block").distinct()
         fixed = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
         key = F.concat_ws("/", "shard", "block")

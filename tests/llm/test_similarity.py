@@ -52,6 +52,19 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert near_dup.components(docs.where("false")).count() == 0
 
 
+def chains(many, length):
+    """Rows of versions that move on by four words: each is linked with the one before and the one after it only."""
+    return [(100 * c + i, " ".join(f"c{c}w{k}" for k in range(4 * i, 4 * i + 100))) for c in range(many) for i in range(length)]
+
+
+def test_chains_in_large_clusters_equal_brute_force(spark, monkeypatch):
+    for name, value in (("CLUSTER", 6), ("SHARD", 6), ("PIVOTS", 2)):
+        monkeypatch.setattr(near_dup, name, value)
+    rows = chains(40, 12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows, 85)
+
+
 def test_components_of_repeated_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(7, text), (7, text), (3, text.upper()), (None, text), (None, "alone in here"), (7, "other text")], "doc_id long, text string")
