@@ -1,13 +1,14 @@
 """Operator 5: near-duplicates by chosen paths, a recursive set similarity join.
 
 A document is its set of five-word shingles. COORDINATES minwise tokens of the set are its sketch; two sets of similarity s
-agree in a share s of them. Each of TREES independent trees sends a document to the node of one of its minwise tokens.
+agree in a share s of them. Each of at least TREES trees sends a document to the node of one of its minwise tokens.
 Small nodes (up to SMALL documents) are compared exhaustively. In a larger node all are compared with NODE_PIVOTS pivots;
 documents that the pivots join into one group need no comparison among themselves. Where at most OUTSIDE documents are
 outside the largest group, those are compared with the whole node, which finds all that exhaustive comparison would. Any
-other node is branched as a whole by one further token, and by a second one with probability SECOND. With 1 + SECOND = 1 / 0.85 branches a pair at the threshold has one common child on average,
-so the work does not grow from level to level, while less similar pairs part. A pair meets in the first node of a tree
-with probability 0.85; ten trees miss it in nodes of up to SMALL documents with probability 6e-9.
+other node is branched as a whole by one further token, and by a second one with such a probability that a pair at the
+threshold has one common child on average, so the work does not grow from level to level, while less similar pairs part.
+A pair meets in the first node of a tree with probability 0.85; ten trees miss it in nodes of up to SMALL documents with
+probability 6e-9. Branched nodes lose more: trees are added until the computed miss after the deepest branching is MISS.
 
 Comparisons on sketches (AGREE of COORDINATES tokens, which a pair of similarity 0.85 misses with probability 1e-8, and the
 exact bound on set sizes) only say which documents belong in one cluster. Links are confirmed on full sets within clusters:
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from skein.llm.common import BATCH_ROWS, keyed_text, scratch, short_batches, tab
 from skein.llm.shingles import common, mix, shingle_sets
 from skein.operators.components import connected_components
 
-TREES, COORDINATES, AGREE, SECOND = 10, 48, 24, 0.18
+TREES, COORDINATES, AGREE = 10, 48, 24
+#: Share of pairs at the threshold that all trees together may miss, by computation; further trees that are grown at a time.
+MISS, TREES_AT_ONCE = 1e-4, 20
 #: Documents of a node that are compared in one go with those of others.
 FEW = 8
 #: Documents of a node that is compared exhaustively; levels after which a node goes to one cluster as it is.
@@ -254,19 +258,75 @@ def node_states(tried: DataFrame) -> DataFrame:
     return best.groupBy("node", "size").agg(F.max_by("reach", F.struct("held", "reach")).alias("reach"), F.max("held").alias("held")).select("node", "size", "reach", (F.col("size") - F.col("held")).alias("outside"))
 
 
+def second(percent: int) -> float:
+    """Probability of a second branch: a pair at the threshold then has one common child on average."""
+    return 100 / percent - 1
+
+
+def missed(percent: int, depth: int, trees: int) -> float:
+    """Computed probability that a pair at the threshold has no common node after `depth` branchings in any of the trees.
+
+    All trees draw on one sketch, so this is a mean over the binomial number of tokens in which the pair agrees.
+    """
+    s, two, total = percent / 100, second(percent), 0.0
+    for k in range(COORDINATES + 1):
+        a, lost = k / COORDINATES, 0.0
+        for _ in range(depth):
+            one = 1 - a + a * lost
+            lost = (1 - two) * one + two * one * one
+        total += comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k) * (1 - a * (1 - lost)) ** trees
+    return total
+
+
+def trees_needed(percent: int, depth: int) -> int:
+    """The trees, TREES at least, after which at most MISS of the pairs at the threshold are missed."""
+    low, high = TREES, TREES
+    while missed(percent, depth, high) > MISS:
+        low, high = high, 2 * high
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if missed(percent, depth, mid) <= MISS else (mid + 1, high)
+    return high
+
+
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) between classes that may be linked, by all trees; classes: digest, n, sketch."""
+    """(a, b) between classes that may be linked; classes: digest, n, sketch.
+
+    What was in a branched root of the first trees goes through as many further trees as the deepest branching needs.
+    """
+    found: tuple[list, list, list, list] = [], [], [], []
+    done = trees_needed(percent, 0)
+    depth, branched = grow(classes, range(done), percent, found)
+    if depth:
+        classes_left = classes.join(branched, "digest", "left_semi")
+        while (needed := trees_needed(percent, depth)) > done:
+            upto = min(needed, done + TREES_AT_ONCE)
+            depth = max(depth, grow(classes_left, range(done, upto), percent, found)[0])
+            done = upto
+    small, edges, rest, others = found
+    edges.append(compare_nodes(reduce(DataFrame.unionByName, small).join(classes, "digest"), percent))
+    if rest:
+        finished = compare_fixed(_sharded(reduce(DataFrame.unionByName, rest)), _in_all_shards(reduce(DataFrame.unionByName, others)), percent)
+        edges.append(finished.select(F.col("digest").alias("a"), F.explode("likes").alias("b")))
+    return reduce(DataFrame.unionByName, edges)
+
+
+def grow(classes: DataFrame, trees: range, percent: int, found: tuple[list, list, list, list]) -> tuple[int, DataFrame | None]:
+    """Adds what the trees find to (small nodes, edges, rows of few outsiders, these outsiders).
+
+    Returns the number of branchings of the deepest node, and the digests in branched roots.
+    """
     spark = classes.sparkSession
-    roots = [F.xxhash64(F.lit(r), F.substring("sketch", 8 * r + 1, 8)) for r in range(TREES)]
-    placed, level = classes.select(F.explode(F.array(*roots)).alias("node"), "digest"), 0
-    small, edges, rest, others = [], [], [], []
+    small, edges, rest, others = found
+    roots = [F.xxhash64(F.lit(r), F.substring("sketch", 8 * (r % COORDINATES) + 1, 8)) for r in trees]
+    placed, level, roots_branched = classes.select(F.explode(F.array(*roots)).alias("node"), "digest"), 0, None
     while True:
         sizes = placed.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         met = scratch(spark, placed.join(sizes, "node"), "nodes")
         small.append(met.where(F.col("size") <= SMALL))
         large = met.where(F.col("size") > SMALL)
         if large.isEmpty():
-            break
+            return level, roots_branched
         level += 1
         pivots = large.groupBy("node", F.pmod(F.xxhash64("node", "digest"), F.lit(NODE_PIVOTS))).agg(F.min("digest").alias("digest"), F.first("size").alias("size"))
         tried = scratch(spark, compare_fixed(_sharded(large.join(classes, "digest")), _in_all_shards(pivots.join(classes, "digest")), percent), "tried")
@@ -275,22 +335,22 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         near = tried.join(states.where(F.col("outside").between(1, OUTSIDE)), "node")
         rest.append(near)
         others.append(near.where(F.col("mask").bitwiseAND(F.col("reach")) == 0))
-        deep = tried.join(states.where(F.col("outside") > OUTSIDE), "node")
+        spread = states.where(F.col("outside") > OUTSIDE)
+        if spread.isEmpty():
+            return level - 1, roots_branched
+        deep = tried.join(spread, "node")
+        if level == 1:
+            roots_branched = scratch(spark, deep.select("digest").distinct(), "deep")
         if level == LEVELS:
             edges.append(deep.select("node", F.col("digest").alias("a")).join(pivots.groupBy("node").agg(F.min("digest").alias("b")), "node").select("a", "b"))
-            break
+            return level - 1, roots_branched
         span = COORDINATES - TREES
         first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(span))
         step = F.lit(1) + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(span - 1))
         one, two = (F.xxhash64("node", t, F.substring(F.col("sketch"), (8 * t + 1).cast("int"), F.lit(8))) for t in (F.pmod(first + k * step, F.lit(span)) + TREES for k in range(2)))
-        twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(100)) < round(100 * SECOND)
+        twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(10_000)) < round(10_000 * second(percent))
         children = F.when(twice, F.array(one, two)).otherwise(F.array(one))
         placed = scratch(spark, deep.select(F.explode(children).alias("node"), "digest"), "branches")
-    edges.append(compare_nodes(reduce(DataFrame.unionByName, small).join(classes, "digest"), percent))
-    if rest:
-        finished = compare_fixed(_sharded(reduce(DataFrame.unionByName, rest)), _in_all_shards(reduce(DataFrame.unionByName, others)), percent)
-        edges.append(finished.select(F.col("digest").alias("a"), F.explode("likes").alias("b")))
-    return reduce(DataFrame.unionByName, edges)
 
 
 def confirm_clusters(members: DataFrame, percent: int) -> DataFrame:

@@ -65,6 +65,19 @@ def test_chains_in_large_clusters_equal_brute_force(spark, monkeypatch):
     assert got == plain_components(rows, 85)
 
 
+def test_branched_nodes_get_the_trees_they_need(spark, monkeypatch):
+    for percent in (80, 85):
+        assert abs((1 + near_dup.second(percent)) * percent / 100 - 1) < 1e-12
+        for depth in (1, 4, 8, 12):
+            assert near_dup.missed(percent, depth, near_dup.trees_needed(percent, depth)) <= near_dup.MISS
+    for name, value in (("TREES", 1), ("SMALL", 30), ("OUTSIDE", 2)):
+        monkeypatch.setattr(near_dup, name, value)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(2 * i + j, " ".join(passage + [f"u{i}_{k}" for k in range(60)] + [f"v{i}_{j}_{k}" for k in range(6)])) for i in range(40) for j in range(2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows, 85)
+
+
 def test_components_of_repeated_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(7, text), (7, text), (3, text.upper()), (None, text), (None, "alone in here"), (7, "other text")], "doc_id long, text string")
