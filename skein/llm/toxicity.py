@@ -1,4 +1,4 @@
-"""Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine over telling terms.
 
 A bounded sample of labelled texts is indexed by its telling terms (chi-square against the label). The postings of a term
 are cut into blocks of BLOCK examples and keep the largest weight of each block, so a query adds up an upper bound for
