@@ -76,10 +76,16 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     return spans.groupBy("blob").agg(F.first("due").alias("rules"), F.sort_array(F.collect_list("span")).alias("spans"))
 
 
-def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(doc_id, blob, spans) for every path; a blob's copies may be a large share of all rows, so only found blobs join."""
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, spans) for every path, from all ledger rows, old and new; spans of rules in other versions are left out.
+
+    A blob's rows are merged before the join; its copies may be a large share of all rows, so only found blobs join.
+    """
     paths = versions.select("doc_id", F.sha2("text", 256).alias("blob"))
-    hits = ledger.where(F.size("spans") > 0).select("blob", "spans")
+    tag = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, f"{r.kind}@{r.version}")))
+    current = F.filter("spans", lambda s: F.coalesce(F.array_contains("rules", tag[s.kind]), F.lit(False)))
+    rows = ledger.where(F.size("spans") > 0).select("blob", current.alias("spans")).where(F.size("spans") > 0)
+    hits = rows.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return paths.join(hits, "blob", "left")
 
 
