@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.storage import scratch
+from skein.plans.storage import release, scratch
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -53,6 +53,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", on
     if given.count() <= one_task:
         return _in_one_task(given)
     now = scratch(spark, given.distinct(), "edges")
+    release(spark, given)
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -61,7 +62,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", on
         # every edge of `large` leads from a node to a smaller one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = scratch(spark, small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        old, now = now, scratch(spark, small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        release(spark, old)
         before, mark = mark, _mark(now)
         if before == mark:
             break

@@ -8,23 +8,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one if the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = known.get() if known.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
+    return _LOCAL[app]
 
 
 def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives a lost executor, goes when the JVM ends."""
+    """Write df to the shared folder and read it back: cuts lineage, survives a lost executor; goes by `release` or when
+    the JVM ends."""
     at = os.path.join(shared_folder(spark), f"skein-{name}-{uuid.uuid4().hex}")
     df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._scratch_path = at
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for t in tables:
+        if at := getattr(t, "_scratch_path", None):
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
