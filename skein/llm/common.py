@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from skein.plans.storage import scratch, shared_folder
 
-__all__ = ["BATCH_ROWS", "crc_is", "keyed_text", "labelled_sample", "logistic", "scratch", "shared_folder", "short_batches", "sigmoid", "table"]
+__all__ = ["BATCH_ROWS", "crc_is", "id_place", "keyed_text", "labelled_sample", "logistic", "marked", "scratch", "shared_folder", "short_batches", "sigmoid", "table"]
 
 #: Rows per Arrow batch handed to Python; keeps a worker's memory a few MB above its longest text.
 BATCH_ROWS = 512
+#: Bits of a map of keys: 4 MB, however many keys there are.
+ID_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,24 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def id_place(key: Column) -> Column:
+    """A key's place in a bitmap of ID_BITS bits, from 1."""
+    return F.pmod(F.xxhash64(key), F.lit(ID_BITS)) + 1
+
+
+def marked(df: DataFrame, place: Column, wanted: DataFrame) -> DataFrame:
+    """df with _marked: whether its place is one of wanted's (column `place`). Other keys may share a place.
+
+    The map is broadcast: at most ID_BITS / 32768 rows of 4 KB, however many places are wanted.
+    """
+    bits = wanted.groupBy(F.bitmap_bucket_number("place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (at % 8 + 1).cast("int"))
+    looked = df.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket", "left")
+    return looked.withColumn("_marked", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("_bucket", "_bits")
+
+
 def crc_is(key: Column, modulus: int, remainder: int) -> Column:
     """crc32(key as text) mod modulus = remainder; a null key counts as false."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))

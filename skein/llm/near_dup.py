@@ -1,22 +1,27 @@
 """Operator 5: near-duplicates by chosen paths, a recursive set similarity join.
 
-A document is its set of five-word shingles. COORDINATES minwise tokens of the set are its sketch; two sets of similarity s
-agree in a share s of them. Each of at least TREES trees sends a document to the node of one of its minwise tokens.
-Small nodes (up to SMALL documents) are compared exhaustively. In a larger node all are compared with NODE_PIVOTS pivots;
-documents that the pivots join into one group need no comparison among themselves. Where at most OUTSIDE documents are
-outside the largest group, those are compared with the whole node, which finds all that exhaustive comparison would. Any
-other node is branched as a whole by one further token, and by a second one with such a probability that a pair at the
-threshold has one common child on average, so the work does not grow from level to level, while less similar pairs part.
-A pair meets in the first node of a tree with probability 0.85; ten trees miss it in nodes of up to SMALL documents with
-probability 6e-9. Branched nodes lose more: trees are added until the computed miss after the deepest branching is MISS.
-
-Comparisons on sketches (AGREE of COORDINATES tokens, which a pair of similarity 0.85 misses with probability 1e-8, and the
+A document is its set of five-word shingles. COORDINATES minwise tokens of the set, one byte of each, are its sketch; two
+sets of similarity s agree in a share s of them (and by chance in 1/256 of the rest). TREES independent trees send a document
+to the node of one whole minwise token each. A node of up to SMALL documents is compared exhaustively. In a larger one
+PIVOTS_OF_NODE pivots are compared with all; where few documents are outside the largest group that they join, these are
+compared with the whole node, which finds all that exhaustive comparison would. Any other node is branched by one further
+token, and by a second one with such a probability that a pair at the threshold has one common child on average, so work
+does not grow from level to level, while less similar pairs part. A pair at 0.85 meets in the first node of none of the
+trees with probability 6e-9; branched nodes lose more, so they are branched again and again by other tokens until the
+computed share of pairs that all trees miss (`missed`) is MISS at the depth that was reached.
+
+All of a node of up to NODE_ROWS documents (80 bytes each) happens in one task, in memory. Larger nodes are first dealt in
+shards and branched by joins, by the same rules, until their children have that size.
+
+Comparisons on sketches (AGREE of COORDINATES bytes, which a pair of similarity 0.85 misses with probability 1e-8, and the
 exact bound on set sizes) only say which documents belong in one cluster. Links are confirmed on full sets within clusters:
-a small cluster in one task; a large one in shards against sixteen pivots, and all outside the largest component that these
-links make against all shards.
+a small cluster in one task; in a large one, shards of its documents meet rounds of pivots, FIRST_PIVOTS at first and
+MORE_PIVOTS times as many in each further round, chosen among those outside the largest component so far, until none is
+outside that has not met all. So every link between different components has been looked for, whatever the size.
 Documents of equal sets form one class, which takes part once.
 
-Nothing that follows the corpus reaches the driver; groups meet in one task only where their size is bounded.
+Nothing that follows the corpus reaches the driver; groups meet in one task only where their size is bounded. Texts of
+documents without a candidate are not shuffled: a bitmap of fixed size over the wanted ids leaves them out.
 
 Defined results: words are as in shingles.py; null and empty texts have size 0 and no link; fewer than five words are one
 shingle; rows that repeat a doc_id are linked by their own texts; a null doc_id gets the component of its class if it has
@@ -27,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
@@ -35,22 +40,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import BATCH_ROWS, keyed_text, scratch, short_batches, table
+from skein.llm.common import BATCH_ROWS, id_place, keyed_text, marked, scratch, short_batches, table
 from skein.llm.shingles import common, mix, shingle_sets
 from skein.operators.components import connected_components
+from skein.plans.storage import release
 
 TREES, COORDINATES, AGREE = 10, 48, 24
-#: Share of pairs at the threshold that all trees together may miss, by computation; further trees that are grown at a time.
-MISS, TREES_AT_ONCE = 1e-4, 20
-#: Documents of a node that are compared in one go with those of others.
-FEW = 8
-#: Documents of a node that is compared exhaustively; levels after which a node goes to one cluster as it is.
-SMALL, LEVELS = 1000, 24
-#: Pivots of a larger node (60 at most); rows outside their largest group that are compared with the whole node; rows of a
-#: node that one task compares.
-NODE_PIVOTS, OUTSIDE, NODE_SHARD = 8, 256, 2000
-#: Documents and shingles of a cluster that one task takes.
-CLUSTER, CLUSTER_SHINGLES, PIVOTS, SHARD = 400, 2_000_000, 16, 400
+#: Share of pairs at the threshold that all trees together may miss, by computation.
+MISS = 1e-4
+#: Documents of a node that are compared in one go with those of others; of a node that is compared exhaustively.
+FEW, SMALL = 8, 1500
+#: Documents of a node that one task takes; of a larger one that a shard takes.
+NODE_ROWS, NODE_SHARD = 50_000, 20_000
+#: Pivots of a larger node (60 at most); comparisons of rows outside their largest group with all that take place at once.
+PIVOTS_OF_NODE, AT_ONCE = 32, 4_000_000
+#: Documents and shingles of a cluster, or of a shard of a larger one, that one task takes.
+CLUSTER, CLUSTER_SHINGLES = 400, 2_000_000
+#: Pivots of a large cluster in the first round; the factor from round to round; pivots that meet a shard at a time.
+FIRST_PIVOTS, MORE_PIVOTS, PIVOT_BLOCK = 64, 32, 400
 #: Postings that are added up at a time.
 POSTINGS = 1 << 20
 
@@ -58,33 +65,40 @@ _SEED = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA24BAED
 _FACTOR = mix(_SEED) | np.uint64(1)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
+def tokens(shingles: np.ndarray) -> np.ndarray:
     """The minwise tokens of a nonempty set."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1 << 14):
         part = shingles[at : at + (1 << 14)]
         for k in range(COORDINATES):
             out[k] = min(out[k], ((part ^ _SEED[k]) * _FACTOR[k]).min())
-    return out
+    return mix(out)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One byte of each token."""
+    return (found >> np.uint64(56)).astype(np.uint8)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), sketch."""
+    """doc_id, n_shingles, digest (of the set; null if empty), roots (the trees' whole tokens), sketch."""
     short_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist())
+            found = [tokens(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([None if t is None else t[:TREES].astype(np.int64).tolist() for t in found], pa.list_(pa.int64())),
+                    pa.array([None if t is None else sketch(t).tobytes() for t in found], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                ["doc_id", "n_shingles", "digest", "roots", "sketch"],
             )
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return keyed_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, roots array<long>, sketch binary")
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -92,7 +106,7 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether rows of sketches may be of sets that similar: enough equal tokens, and sizes that allow it."""
+    """Whether rows of sketches may be of sets that similar: enough equal bytes, and sizes that allow it."""
     return ((a == b).sum(1) >= AGREE) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
@@ -152,29 +166,121 @@ class Forest:
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of whole groups of rows with equal first `keys` columns, from batches that are sorted by them."""
-    rest: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        last = [t.column(k)[-1].as_py() for k in range(keys)]
-        at = t.num_rows - 1
-        while at > 0 and all(t.column(k)[at - 1].as_py() == v for k, v in enumerate(last)):
+        last = [b.column(k)[-1] for k in range(keys)]
+        at = b.num_rows - 1
+        while at > 0 and all(b.column(k)[at - 1] == v for k, v in enumerate(last)):
             at -= 1
-        if at:
-            yield t.slice(0, at)
-        rest = t.slice(at)
-    if rest is not None and rest.num_rows:
-        yield rest
+        if at == 0 and held and all(held[-1].column(k)[-1] == v for k, v in enumerate(last)):
+            held.append(b)  # one group goes on through all of the batch
+            continue
+        if held or at:
+            yield pa.Table.from_batches([*held, b.slice(0, at)])
+        held = [b.slice(at)]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def second(percent: int) -> float:
+    """Probability of a second branch: a pair at the threshold then has one common child on average."""
+    return 100 / percent - 1
+
+
+@lru_cache(maxsize=4096)
+def missed(percent: int, depth: int, repeats: int) -> float:
+    """Computed probability that a pair at the threshold has no common last node, with `repeats` branchings of each root.
+
+    All trees draw on one sketch, so this is a mean over the binomial number of tokens in which the pair agrees.
+    """
+    s, two, total = percent / 100, second(percent), 0.0
+    for k in range(COORDINATES + 1):
+        a, lost = k / COORDINATES, 0.0
+        for _ in range(depth):
+            one = 1 - a + a * lost
+            lost = (1 - two) * one + two * one * one
+        total += comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k) * (1 - a * (1 - lost**repeats)) ** TREES
+    return total
+
+
+def enough(percent: int, depth: int, repeats: int) -> bool:
+    """Whether the computed share of missed pairs is MISS at most, or near what the roots alone miss."""
+    return repeats > 0 and missed(percent, depth, repeats) <= max(MISS, 2 * missed(percent, 0, 1))
+
+
+class Node:
+    """The documents of one root in memory; joins the alike ones."""
+
+    def __init__(self, key: int, ids: list[bytes], n: np.ndarray, s: np.ndarray, percent: int, small: int = SMALL, at_once: int = AT_ONCE):
+        self.key, self.ids, self.n, self.s, self.percent, self.small, self.at_once = key, ids, n, s, percent, small, at_once
+        self.part = np.arange(len(ids))
+        self.joins: list[tuple[bytes, bytes]] = []
+
+    def meet(self, k: int, rows: np.ndarray) -> None:
+        """Compare document k with rows, but for those that are in its group already."""
+        rows = rows[self.part[rows] != self.part[k]]
+        hit = rows[alike(self.s[rows], self.n[rows], self.s[k], self.n[k], self.percent)]
+        if len(hit):
+            parts, first = np.unique(self.part[hit], return_index=True)
+            self.joins += [(self.ids[k], self.ids[j]) for j in hit[first].tolist()]
+            self.part[np.isin(self.part, parts)] = self.part[k]
+
+    def outside(self, rows: np.ndarray, met: np.ndarray) -> np.ndarray:
+        """Those outside the largest group that have not met all rows."""
+        parts, count = np.unique(self.part[rows], return_counts=True)
+        left = rows[self.part[rows] != parts[count.argmax()]]
+        return left[~np.isin(left, met)]
+
+    def exhaust(self, rows: np.ndarray, left: np.ndarray) -> None:
+        for k in left.tolist():
+            if (self.part[rows] == self.part[rows[0]]).all():
+                return
+            self.meet(k, rows)
+
+    def grow(self, rows: np.ndarray, used: frozenset[int], rng: np.random.Generator) -> int:
+        """Find the alike ones among rows; returns the branchings of the deepest node."""
+        if len(rows) <= self.small:
+            self.exhaust(rows, rows)
+            return 0
+        met: list[int] = []
+        left = rows
+        while len(left) and len(met) < PIVOTS_OF_NODE:
+            k = int(left[rng.integers(len(left))])
+            met.append(k)
+            self.meet(k, rows)
+            left = self.outside(rows, np.array(met))
+        free = [t for t in range(COORDINATES) if t not in used]
+        if len(left) * len(rows) <= self.at_once or not free:
+            self.exhaust(rows, left)
+            return 0
+        depth = 0
+        for t in rng.choice(free, min(len(free), 1 + int(rng.random() < second(self.percent))), replace=False).tolist():
+            order = rows[np.argsort(self.s[rows, t], kind="stable")]
+            cuts = np.flatnonzero(np.diff(self.s[order, t])) + 1
+            for child in np.split(order, cuts):
+                if len(child) > 1:
+                    depth = max(depth, 1 + self.grow(child, used | {t}, rng))
+        return depth
+
+    def run(self) -> list[tuple[bytes, bytes]]:
+        repeats = depth = 0
+        while not enough(self.percent, depth, repeats):
+            rng = np.random.default_rng([self.key & 0xFFFFFFFF, repeats])
+            depth = max(depth, self.grow(np.arange(len(self.ids)), frozenset(), rng))
+            repeats += 1
+        return self.joins
 
 
 def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: node, digest, n, sketch, nodes of SMALL rows at most. (a, b): a spanning forest of the alike ones of each node."""
+    """rows: node, digest, n, sketch, nodes of NODE_ROWS rows at most. (a, b): a spanning forest of the alike ones of each node."""
+
+    small, at_once = SMALL, AT_ONCE
 
     def run(batches):
         for t in groups(batches, 1):
@@ -187,17 +293,9 @@ def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
             for d in range(1, FEW):
                 i = np.flatnonzero((node[:-d] == node[d:]) & few[:-d])
                 i = i[alike(s[i], n[i], s[i + d], n[i + d], percent)]
-                kept += [(ids[x], ids[x + d]) for x in i.tolist() if ids[x] != ids[x + d] and forest.join(x, x + d)]
+                kept += [(ids[x], ids[x + d]) for x in i.tolist() if forest.join(x, x + d)]
             for at, m in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-                group, sizes, part = s[at : at + m], n[at : at + m], np.arange(m)
-                for k in range(m - 1):
-                    like = alike(group[k + 1 :], sizes[k + 1 :], group[k], sizes[k], percent)
-                    for j in (k + 1 + np.flatnonzero(like & (part[k + 1 :] != part[k]))).tolist():
-                        if part[j] != part[k]:
-                            part[part == part[j]] = part[k]
-                            kept.append((ids[at + k], ids[at + j]))
-                    if (part == part[0]).all():
-                        break
+                kept += Node(int(node[at]), ids[at : at + m], n[at : at + m], s[at : at + m], percent, small, at_once).run()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()), pa.array([y for _, y in kept], pa.binary())], ["a", "b"])
 
     dealt = rows.select("node", "digest", "n", "sketch").repartition("node").sortWithinPartitions("node")
@@ -250,107 +348,59 @@ def node_states(tried: DataFrame) -> DataFrame:
 
     def grown(start):
         take = lambda reach, m: F.when(reach.bitwiseAND(m["mask"]) != 0, reach.bitwiseOR(m["mask"])).otherwise(reach)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(NODE_PIVOTS)), start, lambda reach, _: F.aggregate("masks", reach, take))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(PIVOTS_OF_NODE)), start, lambda reach, _: F.aggregate("masks", reach, take))
 
-    reaches = F.transform(F.array(*(F.lit(1 << k).cast("long") for k in range(NODE_PIVOTS))), grown)
+    reaches = F.transform(F.array(*(F.lit(1 << k).cast("long") for k in range(PIVOTS_OF_NODE))), grown)
     held = lambda reach: F.aggregate("masks", F.lit(0).cast("long"), lambda n, m: n + F.when(reach.bitwiseAND(m["mask"]) != 0, m["rows"]).otherwise(F.lit(0).cast("long")))
     best = masks.select("node", "size", "masks", F.explode(reaches).alias("reach")).select("node", "size", "reach", held(F.col("reach")).alias("held"))
     return best.groupBy("node", "size").agg(F.max_by("reach", F.struct("held", "reach")).alias("reach"), F.max("held").alias("held")).select("node", "size", "reach", (F.col("size") - F.col("held")).alias("outside"))
 
 
-def second(percent: int) -> float:
-    """Probability of a second branch: a pair at the threshold then has one common child on average."""
-    return 100 / percent - 1
-
-
-def missed(percent: int, depth: int, trees: int) -> float:
-    """Computed probability that a pair at the threshold has no common node after `depth` branchings in any of the trees.
-
-    All trees draw on one sketch, so this is a mean over the binomial number of tokens in which the pair agrees.
-    """
-    s, two, total = percent / 100, second(percent), 0.0
-    for k in range(COORDINATES + 1):
-        a, lost = k / COORDINATES, 0.0
-        for _ in range(depth):
-            one = 1 - a + a * lost
-            lost = (1 - two) * one + two * one * one
-        total += comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k) * (1 - a * (1 - lost)) ** trees
-    return total
-
-
-def trees_needed(percent: int, depth: int) -> int:
-    """The trees, TREES at least, after which at most MISS of the pairs at the threshold are missed."""
-    low, high = TREES, TREES
-    while missed(percent, depth, high) > MISS:
-        low, high = high, 2 * high
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if missed(percent, depth, mid) <= MISS else (mid + 1, high)
-    return high
-
-
-def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) between classes that may be linked; classes: digest, n, sketch.
-
-    What was in a branched root of the first trees goes through as many further trees as the deepest branching needs.
-    """
-    found: tuple[list, list, list, list] = [], [], [], []
-    done = trees_needed(percent, 0)
-    depth, branched = grow(classes, range(done), percent, found)
-    if depth:
-        classes_left = classes.join(branched, "digest", "left_semi")
-        while (needed := trees_needed(percent, depth)) > done:
-            upto = min(needed, done + TREES_AT_ONCE)
-            depth = max(depth, grow(classes_left, range(done, upto), percent, found)[0])
-            done = upto
-    small, edges, rest, others = found
-    edges.append(compare_nodes(reduce(DataFrame.unionByName, small).join(classes, "digest"), percent))
-    if rest:
-        finished = compare_fixed(_sharded(reduce(DataFrame.unionByName, rest)), _in_all_shards(reduce(DataFrame.unionByName, others)), percent)
-        edges.append(finished.select(F.col("digest").alias("a"), F.explode("likes").alias("b")))
-    return reduce(DataFrame.unionByName, edges)
-
-
-def grow(classes: DataFrame, trees: range, percent: int, found: tuple[list, list, list, list]) -> tuple[int, DataFrame | None]:
-    """Adds what the trees find to (small nodes, edges, rows of few outsiders, these outsiders).
-
-    Returns the number of branchings of the deepest node, and the digests in branched roots.
-    """
-    spark = classes.sparkSession
-    small, edges, rest, others = found
-    roots = [F.xxhash64(F.lit(r), F.substring("sketch", 8 * (r % COORDINATES) + 1, 8)) for r in trees]
-    placed, level, roots_branched = classes.select(F.explode(F.array(*roots)).alias("node"), "digest"), 0, None
+def branch(spark: SparkSession, large: DataFrame, percent: int, repeat: int) -> tuple[int, list[DataFrame]]:
+    """Links of nodes of more than NODE_ROWS rows (node, digest, n, sketch, size), branched by joins; and the deepest level."""
+    edges, level = [], 0
     while True:
-        sizes = placed.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        met = scratch(spark, placed.join(sizes, "node"), "nodes")
-        small.append(met.where(F.col("size") <= SMALL))
-        large = met.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            return level, roots_branched
-        level += 1
-        pivots = large.groupBy("node", F.pmod(F.xxhash64("node", "digest"), F.lit(NODE_PIVOTS))).agg(F.min("digest").alias("digest"), F.first("size").alias("size"))
-        tried = scratch(spark, compare_fixed(_sharded(large.join(classes, "digest")), _in_all_shards(pivots.join(classes, "digest")), percent), "tried")
+        pivots = large.groupBy("node", F.pmod(F.xxhash64("node", "digest"), F.lit(PIVOTS_OF_NODE)).alias("salt")).agg(F.min(F.struct("digest", "n", "sketch", "size")).alias("p")).select("node", "p.*")
+        tried = scratch(spark, compare_fixed(_sharded(large), _in_all_shards(pivots), percent), "tried")
         edges.append(tried.select(F.col("digest").alias("a"), F.explode("likes").alias("b")))
         states = scratch(spark, node_states(tried), "states")
-        near = tried.join(states.where(F.col("outside").between(1, OUTSIDE)), "node")
-        rest.append(near)
-        others.append(near.where(F.col("mask").bitwiseAND(F.col("reach")) == 0))
-        spread = states.where(F.col("outside") > OUTSIDE)
-        if spread.isEmpty():
-            return level - 1, roots_branched
-        deep = tried.join(spread, "node")
-        if level == 1:
-            roots_branched = scratch(spark, deep.select("digest").distinct(), "deep")
-        if level == LEVELS:
-            edges.append(deep.select("node", F.col("digest").alias("a")).join(pivots.groupBy("node").agg(F.min("digest").alias("b")), "node").select("a", "b"))
-            return level - 1, roots_branched
+        alone = F.col("mask").bitwiseAND(F.col("reach")) == 0
+        last = level == COORDINATES - TREES
+        few = F.lit(True) if last else F.col("outside") * F.col("size") <= NODE_SHARD * NODE_SHARD
+        near = tried.join(states.where((F.col("outside") > 0) & few), "node")
+        edges.append(compare_fixed(_sharded(near), _in_all_shards(near.where(alone)), percent).select(F.col("digest").alias("a"), F.explode("likes").alias("b")))
+        deep = tried.join(states.where(~few), "node")
+        if last or deep.isEmpty():
+            return level, edges
+        level += 1
         span = COORDINATES - TREES
-        first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(span))
-        step = F.lit(1) + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(span - 1))
-        one, two = (F.xxhash64("node", t, F.substring(F.col("sketch"), (8 * t + 1).cast("int"), F.lit(8))) for t in (F.pmod(first + k * step, F.lit(span)) + TREES for k in range(2)))
-        twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(10_000)) < round(10_000 * second(percent))
-        children = F.when(twice, F.array(one, two)).otherwise(F.array(one))
-        placed = scratch(spark, deep.select(F.explode(children).alias("node"), "digest"), "branches")
+        first = F.pmod(F.xxhash64("node", F.lit(level), F.lit(repeat)), F.lit(span))
+        step = F.lit(1) + F.pmod(F.xxhash64("node", F.lit(-level), F.lit(repeat)), F.lit(span - 1))
+        one, two = (F.xxhash64("node", F.lit(repeat), t, F.substring(F.col("sketch"), (t + 1).cast("int"), F.lit(1))) for t in (F.pmod(first + k * step, F.lit(span)) + TREES for k in range(2)))
+        twice = F.pmod(F.xxhash64("node", F.lit("second"), F.lit(repeat)), F.lit(10_000)) < round(10_000 * second(percent))
+        children = scratch(spark, deep.select(F.explode(F.when(twice, F.array(one, two)).otherwise(F.array(one))).alias("node"), "digest", "n", "sketch"), "branches")
+        sizes = children.groupBy("node").agg(F.count("*").alias("size"))
+        edges.append(compare_nodes(children.join(sizes.where(F.col("size").between(2, NODE_ROWS)), "node"), percent))
+        large = scratch(spark, children.join(sizes.where(F.col("size") > NODE_ROWS), "node"), "large")
+        if large.isEmpty():
+            return level, edges
+
+
+def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) between classes that may be linked; classes: digest, n, roots, sketch."""
+    spark = classes.sparkSession
+    placed = classes.select(F.posexplode("roots").alias("tree", "token"), "digest", "n", "sketch").select(F.xxhash64("tree", "token").alias("node"), "digest", "n", "sketch")
+    large = scratch(spark, placed.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > NODE_ROWS), "large-nodes")
+    if large.isEmpty():
+        return compare_nodes(placed, percent)
+    edges = [compare_nodes(placed.join(large, "node", "left_anti"), percent)]
+    rows = scratch(spark, placed.join(large, "node"), "large-rows")
+    depth = repeats = 0
+    while not enough(percent, depth, repeats):
+        reached, found = branch(spark, rows, percent, repeats)
+        depth, repeats = max(depth, reached), repeats + 1
+        edges += found
+    return reduce(DataFrame.unionByName, edges)
 
 
 def confirm_clusters(members: DataFrame, percent: int) -> DataFrame:
@@ -360,7 +410,7 @@ def confirm_clusters(members: DataFrame, percent: int) -> DataFrame:
         for t in groups(batches, 1):
             key, ids = t.column(0).to_pylist(), t.column(1).to_pylist()
             sets = shingle_sets(t.column(2).to_pylist())
-            sketches = np.stack([sketch(s) if len(s) else np.zeros(COORDINATES, np.uint64) for s in sets])
+            sketches = np.stack([sketch(tokens(s)) if len(s) else np.zeros(COORDINATES, np.uint8) for s in sets])
             sizes = np.array([len(s) for s in sets])
             forest, at = Forest(), 0
             known = [digest(s) == d for s, d in zip(sets, ids, strict=True)]
@@ -368,10 +418,9 @@ def confirm_clusters(members: DataFrame, percent: int) -> DataFrame:
                 end = at
                 while end < len(key) and key[end] == key[at]:
                     end += 1
-                for i in range(at, end):
+                for i in range(at + 1, end):
                     if known[i]:
-                        js = at + np.flatnonzero(alike(sketches[at:i], sizes[at:i], np.broadcast_to(sketches[i], (i - at, COORDINATES)), sizes[i], percent)) if i > at else []
-                        for j in list(js):
+                        for j in (at + np.flatnonzero(alike(sketches[at:i], sizes[at:i], sketches[i], sizes[i], percent))).tolist():
                             if known[j] and forest.find(ids[i]) != forest.find(ids[j]) and linked(sets[i], sets[j], percent):
                                 forest.join(ids[i], ids[j])
                 at = end
@@ -383,9 +432,9 @@ def confirm_clusters(members: DataFrame, percent: int) -> DataFrame:
 
 
 def confirm_shards(members: DataFrame, fixed: DataFrame, percent: int) -> DataFrame:
-    """Links between fixed rows and the members of the same shard: (a, b, fixed), fixed null where no fixed row links b.
+    """Links (a, b) between fixed rows and the members of the same shard, as many as a spanning forest of the shard needs.
 
-    members, fixed: cluster, shard, digest, text; a shard has SHARD members and a bounded number of fixed rows.
+    members, fixed: cluster, shard, digest, text; a shard has a bounded number of members and of fixed rows.
     """
 
     def run(batches):
@@ -394,8 +443,7 @@ def confirm_shards(members: DataFrame, fixed: DataFrame, percent: int) -> DataFr
         for b in batches:
             out = []
             cols = [c.to_pylist() for c in b.columns]
-            sets = shingle_sets(cols[4])
-            for cluster, shard, pinned, d, s in zip(*cols[:4], sets, strict=True):
+            for cluster, shard, pinned, d, s in zip(*cols[:4], shingle_sets(cols[4]), strict=True):
                 if (cluster, shard) != here:
                     here, pins, forest, overlaps = (cluster, shard), [], Forest(), None
                 if digest(s) != d:
@@ -405,15 +453,9 @@ def confirm_shards(members: DataFrame, fixed: DataFrame, percent: int) -> DataFr
                     continue
                 if overlaps is None:
                     overlaps, pins = Overlaps([q for _, q in pins]), [(p, None) for p, _ in pins]
-                any_ = False
                 for k in overlaps.linked(s, percent).tolist():
-                    p = pins[k][0]
-                    if p != d:
-                        any_ = True
-                        if forest.join(p, d):
-                            out.append((d, p))
-                if not any_:
-                    out.append((d, None))
+                    if pins[k][0] != d and forest.join(pins[k][0], d):
+                        out.append((d, pins[k][0]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["a", "b"])
 
     both = members.select("cluster", "shard", F.lit(False).alias("pinned"), "digest", "text").unionByName(fixed.select("cluster", "shard", F.lit(True).alias("pinned"), "digest", "text"))
@@ -421,23 +463,48 @@ def confirm_shards(members: DataFrame, fixed: DataFrame, percent: int) -> DataFr
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cluster, digest, size, shingles, text for each class of `wanted` (first, digest, cluster, size, shingles).
+
+    A class is read at its smallest doc_id; classes whose rows have none are read by the digest of their sets.
+    """
+    spark = docs.sparkSession
+    out = ["cluster", "digest", "size", "shingles", "text"]
+    named = wanted.where("first IS NOT NULL")
+    texts = keyed_text(docs).withColumnRenamed("doc_id", "first").where("first IS NOT NULL")
+    maybe = marked(texts, id_place(F.col("first")), named.select(id_place(F.col("first")).alias("place"))).where("_marked").drop("_marked")
+    found = maybe.join(named.hint("merge"), "first").select(*out)
+    nameless = wanted.where("first IS NULL")
+    if nameless.isEmpty():
+        return found
+    short_batches(spark)
+
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), b.column(1)], ["digest", "text"])
+
+    own = keyed_text(docs).where("doc_id IS NULL").mapInArrow(run, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
+    return found.unionByName(own.join(nameless, "digest").select(*out))
+
+
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     every = scratch(spark, sketched(docs), "sketches")
-    classes = scratch(spark, every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    near = connected_components(candidate_edges(classes.select("digest", "n", "sketch"), percent))
+    classes = scratch(spark, every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")), "classes")
+    near = connected_components(candidate_edges(classes.select("digest", F.col("n"), "roots", "sketch"), percent))
     clusters = scratch(spark, near.select(F.col("node").alias("digest"), F.col("component").alias("cluster")).join(classes.select("digest", "first", "n"), "digest"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
-    wanted = clusters.join(sizes, "cluster").where("first IS NOT NULL")
-    texts = keyed_text(docs).withColumnRenamed("doc_id", "first")
-    members = scratch(spark, texts.join(wanted, "first").select("cluster", "digest", "size", "shingles", "text"), "members")
+    wanted = scratch(spark, clusters.join(sizes, "cluster").select("first", "digest", "cluster", "size", "shingles"), "wanted")
+    members = scratch(spark, texts_of(docs, wanted), "members")
     one_task = (F.col("size") <= CLUSTER) & (F.col("shingles") <= CLUSTER_SHINGLES)
     roots = confirm_clusters(members.where(one_task), percent)
     large = members.where(~one_task)
     if not large.isEmpty():
         roots = roots.unionByName(large_roots(spark, large, percent))
     roots = scratch(spark, roots.distinct(), "roots")
+    release(spark, members, wanted, clusters)
     first = roots.join(classes.select("digest", "first"), "digest").groupBy("root").agg(F.min("first").alias("component_id"))
     of = classes.select("digest", "first").join(roots.join(first, "root").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "first").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -445,30 +512,33 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def large_roots(spark: SparkSession, large: DataFrame, percent: int) -> DataFrame:
-    """(digest, root) of clusters that no single task takes: shards against pivots, then all outside the largest component against all shards."""
-    shards = F.ceil(F.greatest(F.col("size") / SHARD, F.col("shingles") / CLUSTER_SHINGLES)).cast("int")
+    """(digest, root) of clusters that no single task takes, by rounds of pivots against shards."""
+    shards = F.ceil(F.greatest(F.col("size") / CLUSTER, F.col("shingles") / CLUSTER_SHINGLES)).cast("int")
     rows = large.withColumn("shards", F.greatest(shards, F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int"))
-    pivots = rows.groupBy("cluster", F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(PIVOTS)).alias("salt")).agg(F.min("digest").alias("digest")).select("cluster", "digest")
-    pinned = rows.join(pivots, ["cluster", "digest"], "left_semi").dropDuplicates(["cluster", "digest"])
-    everywhere = pinned.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    first = scratch(spark, confirm_shards(rows, everywhere, percent), "pivot-links")
-    links = first.where("b IS NOT NULL")
-    joined = connected_components(links).select(F.col("node").alias("digest"), "component")
-    parts = rows.select("cluster", "digest").distinct().join(joined, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    largest = parts.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    # the largest component needs nothing more among its own; pivots have met every shard
-    apart = parts.join(largest, "cluster").where("component <> largest").select("digest").join(pivots.select("digest"), "digest", "left_anti")
-    apart = scratch(spark, apart, "apart")
-    if not apart.isEmpty():
-        # blocks of such classes meet every shard; shard number and block number make one key
-        left = rows.join(apart, "digest", "left_semi").withColumn("block", F.pmod(F.xxhash64("digest", F.lit(2)), F.ceil(F.col("shards") / 4)).cast("int"))
-        blocks = left.select("cluster", "block").distinct()
-        fixed = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    own = rows.select("cluster", "digest").distinct()
+    left, met, links, most = own, None, None, FIRST_PIVOTS
+    while True:
+        # the smallest digest of each of `most` salts, or all where that is not many more
+        few = left.groupBy("cluster").agg((F.count("*") <= 4 * most).alias("few"))
+        salt = F.when(F.col("few"), F.xxhash64("digest")).otherwise(F.pmod(F.xxhash64("digest", F.lit(most)), F.lit(most)))
+        pivots = scratch(spark, left.join(few, "cluster").groupBy("cluster", salt.alias("salt")).agg(F.min("digest").alias("digest")).select("cluster", "digest"), "pivots")
+        met = pivots if met is None else met.unionByName(pivots)
+        block = F.pmod(F.xxhash64("digest", F.lit(2)), F.ceil(F.col("pivots") / PIVOT_BLOCK)).cast("int").alias("block")
+        blocks = pivots.groupBy("cluster").agg(F.count("*").alias("pivots"))
+        fixed = rows.join(pivots, ["cluster", "digest"], "left_semi").join(blocks, "cluster").withColumn("block", block)
+        every = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("pivots") / PIVOT_BLOCK) - 1).cast("int")))
         key = F.concat_ws("/", "shard", "block")
-        met = rows.drop("block").join(blocks, "cluster")
-        links = links.unionByName(confirm_shards(met.withColumn("shard", key), fixed.withColumn("shard", key), percent).where("b IS NOT NULL"))
-    found = connected_components(links)
-    return found.select(F.col("node").alias("digest"), F.col("component").alias("root"))
+        everywhere = fixed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("shard", key)
+        found = scratch(spark, confirm_shards(rows.join(blocks, "cluster").withColumn("block", every).withColumn("shard", key), everywhere, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        joined = scratch(spark, connected_components(links), "joined")
+        parts = own.join(joined.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        largest = parts.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+        # the largest component needs nothing more among its own, and pivots have met every shard
+        left = scratch(spark, parts.join(largest, "cluster").where("component <> largest").select("cluster", "digest").join(met.select("digest"), "digest", "left_anti"), "left")
+        if left.isEmpty():
+            return joined.select(F.col("node").alias("digest"), F.col("component").alias("root"))
+        most *= MORE_PIVOTS
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -46,9 +47,12 @@ def test_components_equal_brute_force(spark, monkeypatch):
     expected = plain_components(rows, 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(docs).collect()}
     assert got == expected
-    for name, value in (("SMALL", 5), ("OUTSIDE", 2), ("NODE_SHARD", 7), ("CLUSTER", 6), ("SHARD", 6)):
+    for name, value in (("SMALL", 5), ("AT_ONCE", 20), ("NODE_SHARD", 7), ("CLUSTER", 6), ("FIRST_PIVOTS", 2), ("MORE_PIVOTS", 3), ("PIVOT_BLOCK", 2)):
         monkeypatch.setattr(near_dup, name, value)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(docs).collect()} == expected
+    monkeypatch.setattr(near_dup, "NODE_ROWS", 12)
+    monkeypatch.setattr(near_dup, "MISS", 0.05)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(docs).collect()} == expected
     assert near_dup.components(docs.where("false")).count() == 0
 
 
@@ -58,24 +62,61 @@ def chains(many, length):
 
 
 def test_chains_in_large_clusters_equal_brute_force(spark, monkeypatch):
-    for name, value in (("CLUSTER", 6), ("SHARD", 6), ("PIVOTS", 2)):
+    for name, value in (("CLUSTER", 6), ("FIRST_PIVOTS", 2), ("MORE_PIVOTS", 4)):
         monkeypatch.setattr(near_dup, name, value)
     rows = chains(40, 12)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_components(rows, 85)
 
 
-def test_branched_nodes_get_the_trees_they_need(spark, monkeypatch):
+def test_a_long_chain_is_one_component(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 100))) for i in range(500)]
+    got = near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 500
+
+
+def families(percent, many, r):
+    """Pairs at the threshold that all share a passage: many roots hold all documents, so their nodes must be branched."""
+    passage = [f"p{k}" for k in range(80)]
+    rows = []
+    for i in range(many):
+        own = [f"u{i}_{k}" for k in range(120)]
+        edit = 12 if percent == 85 else 17
+        rows += [(2 * i, passage + own), (2 * i + 1, passage + own[:-edit] + [f"v{i}_{k}" for k in range(edit)])]
+    return [(d, " ".join(ws)) for d, ws in rows]
+
+
+def test_branched_nodes_keep_their_recall():
+    rng = np.random.default_rng(5)
     for percent in (80, 85):
         assert abs((1 + near_dup.second(percent)) * percent / 100 - 1) < 1e-12
-        for depth in (1, 4, 8, 12):
-            assert near_dup.missed(percent, depth, near_dup.trees_needed(percent, depth)) <= near_dup.MISS
-    for name, value in (("TREES", 1), ("SMALL", 30), ("OUTSIDE", 2)):
+        # 4000 documents in 2000 pairs right at the threshold; each root keeps those that share its token
+        passage, sets = rng.integers(1, 1 << 62, 90, dtype=np.uint64), []
+        for _ in range(2000):
+            own = rng.integers(1, 1 << 62, 110, dtype=np.uint64)
+            moved = {80: 22, 85: 16}[percent]
+            sets += [np.unique(np.r_[passage, own]), np.unique(np.r_[passage, own[moved:], rng.integers(1, 1 << 62, moved, dtype=np.uint64)])]
+        found = np.stack([near_dup.tokens(s) for s in sets])
+        sketches, n = near_dup.sketch(found[0:]), np.array([len(s) for s in sets])
+        joined, deepest = set(), 0
+        for tree in range(near_dup.TREES):
+            for token in np.unique(found[:, tree]).tolist():
+                rows = np.flatnonzero(found[:, tree] == np.uint64(token))
+                if len(rows) > 1:
+                    node = near_dup.Node(token, rows.tolist(), n[rows], sketches[rows], percent, small=40, at_once=400)
+                    deepest = max(deepest, node.grow(np.arange(len(rows)), frozenset(), np.random.default_rng(0)))
+                    joined |= {(a // 2, b // 2) for a, b in node.run()}
+        assert deepest >= 2 and all(near_dup.linked(sets[2 * i], sets[2 * i + 1], percent) for i in range(2000))
+        assert sum((i, i) in joined for i in range(2000)) >= 1998
+
+
+def test_branched_roots_of_documents_equal_brute_force(spark, monkeypatch):
+    for name, value in (("SMALL", 10), ("AT_ONCE", 20)):
         monkeypatch.setattr(near_dup, name, value)
-    passage = [f"p{k}" for k in range(60)]
-    rows = [(2 * i + j, " ".join(passage + [f"u{i}_{k}" for k in range(60)] + [f"v{i}_{j}_{k}" for k in range(6)])) for i in range(40) for j in range(2)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == plain_components(rows, 85)
+    for percent in (80, 85):
+        rows = families(percent, 60, random.Random(1))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+        assert got == plain_components(rows, percent)
 
 
 def test_components_of_repeated_and_null_ids(spark):
@@ -86,6 +127,12 @@ def test_components_of_repeated_and_null_ids(spark):
     assert {(r.component_id, r.kept) for r in got if r.n_shingles == 1} == {(None, True), (7, True)}
 
 
+def test_a_class_of_null_ids_only_links_its_neighbours(spark):
+    rows = [(d, " ".join(f"w{k}" for k in range(i, i + 60))) for d, i in ((5, 0), (None, 4), (9, 8))]
+    got = near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {5} and sum(r.kept for r in got) == 1
+
+
 def test_shingles_do_not_depend_on_stretches(monkeypatch):
     text = " ".join(f"Word{k % 97}\t{k}" for k in range(4000))
     whole = shingles.shingle_sets([text, "a b", None])
