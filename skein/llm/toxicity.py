@@ -1,14 +1,16 @@
-"""Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine over telling terms.
+"""Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is indexed by its telling terms (chi-square against the label). The postings of a term
+A bounded sample of labelled texts is indexed by all its terms. A term's weight is its logarithmic frequency times its
+inverse document frequency times a factor of the label, PLAIN plus the term's correlation with the label over the sample, so
+that two texts are alike first of all by words that tell the classes apart; no term is left out. The postings of a term
 are cut into blocks of BLOCK examples and keep the largest weight of each block, so a query adds up an upper bound for
-every block, opens blocks from the highest bound down, and stops when the K-th best similarity found is no lower than the
-next bound: the K nearest are exact. Their similarities vote, and a logistic curve fitted on labelled texts outside the
-index turns the vote into a score. The nearest examples are returned as evidence.
+every block, opens the blocks of the highest bounds, and then all whose bound exceeds the K-th best similarity found: the
+K nearest are exact. Their similarities vote, weighted by their power SHARP, and a logistic curve fitted on votes of the
+sampled texts among the others turns the vote into a score. The nearest examples are returned as evidence.
 
-Defined results: null and empty texts, and texts without any telling term, have no neighbour and get the curve's value at
-a vote of 0; equal similarities are ranked by the example's place in the index; without labels of both classes the score is
-the share of toxic labels (0 without any); repeated rows are scored alike; extra columns are ignored.
+Defined results: null and empty texts, and texts without any term of the sample, have no neighbour and get the curve's value
+at a vote of 0; equal similarities are ranked by the example's place in the index; without labels of both classes the score
+is the share of toxic labels (0 without any); repeated rows are scored alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import functions as F
 from skein.llm.common import crc_is, keyed_text, labelled_sample, logistic, short_batches, sigmoid, table
 
 BLOCK, K = 64, 15
-#: A term is telling if at least MIN_DF sampled texts hold it and its chi-square against the label reaches CHI2 and PHI2
-#: for each sampled text (the squared correlation).
-MIN_DF, CHI2, PHI2 = 4, 25.0, 0.018
+#: Factor of a term that says nothing of the label; its correlation with the label is added.
+PLAIN = 0.05
+#: Power of a similarity in a vote; similarity whose power is added to the denominator, so that faint neighbours weigh little.
+SHARP, FAINT = 1.0, 0.2
 #: Bounds of the fit: labelled texts a class, and characters of a text that may be among them.
-PER_CLASS, LONGEST = 3000, 50_000
-#: Similarity that is added to the denominator of a vote, so that faint neighbours weigh little.
-FAINT = 0.2
+PER_CLASS, LONGEST = 3000, 20_000
+#: Blocks that are opened before the rest is judged by its bounds.
+FIRST_BLOCKS = 6
 WORD = re.compile(r"\w+")
 #: Words of more than STEM letters also count as their first STEM letters, which joins inflected and compound forms.
 STEM = 5
@@ -41,54 +44,64 @@ def terms_of(text: str) -> list[str]:
     return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] numbers, then the same of the next, and so on."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 class BlockMaxIndex:
-    """Inverted index over unit vectors of at most a few thousand examples."""
+    """Inverted index over sparse vectors (terms, weights) of at most a few thousand examples."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        posts: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                posts[t].append((i, w))
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK) if self.size else 0
-        flat = [p for ps in posts for p in ps]
-        self.docs = np.array([d for d, _ in flat], np.int64)
-        self.weights = np.array([w for _, w in flat], float)
-        self.entries: list[np.ndarray] = []  # for each term, rows of (block, first posting, end)
-        self.tops: list[np.ndarray] = []
-        at = 0
-        for ps in posts:
-            block = np.array([d // BLOCK for d, _ in ps], np.int64)
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(ps) else np.zeros(0, np.int64)
-            end = np.r_[first[1:], len(ps)] if len(ps) else first
-            self.entries.append(np.stack([block[first], at + first, at + end], 1))
-            self.tops.append(np.maximum.reduceat(self.weights[at : at + len(ps)], first) if len(ps) else np.zeros(0))
-            at += len(ps)
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        self.blocks = -(-self.size // BLOCK)
+        of = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        docs = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.lexsort((docs, of))
+        self.docs, of = docs[order], of[order]
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        block = self.docs // BLOCK
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (block[1:] != block[:-1])]) if len(of) else np.zeros(0, np.int64)
+        #: an entry is a term in a block: its block, its first posting, their number, their largest weight
+        self.block, self.first, self.count = block[first], first, np.diff(np.r_[first, len(of)])
+        self.top = np.maximum.reduceat(self.weights, first) if len(of) else np.zeros(0)
+        self.begin = np.searchsorted(of[first], np.arange(terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of largest positive similarity: (similarity, example), best first, ties by example."""
-        terms = [t for t in query if len(self.entries[t])]
-        if not terms:
+        held = self.begin[terms + 1] - self.begin[terms]
+        entry = ranges(self.begin[terms], held)
+        if not len(entry):
             return []
-        rows = np.concatenate([self.entries[t] for t in terms])
-        of = np.repeat([query[t] for t in terms], [len(self.entries[t]) for t in terms])
-        bound = np.bincount(rows[:, 0], of * np.concatenate([self.tops[t] for t in terms]), self.blocks)
+        own, block = np.repeat(weights, held), self.block[entry]
+        bound = np.bincount(block, own * self.top[entry], self.blocks)
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            mine = np.flatnonzero(rows[:, 0] == b)
-            first, count = rows[mine, 1], rows[mine, 2] - rows[mine, 1]
-            at = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
-            got = np.bincount(self.docs[at] - b * BLOCK, self.weights[at] * np.repeat(of[mine], count), BLOCK)
+
+        def open_blocks(some: np.ndarray) -> None:
+            nonlocal best
+            mine = some[block]
+            e = entry[mine]
+            at = ranges(self.first[e], self.count[e])
+            got = np.bincount(self.docs[at], self.weights[at] * np.repeat(own[mine], self.count[e]), self.size)
             hit = np.flatnonzero(got > (-best[-1][0] - 1e-9 if len(best) == k else 0))
-            if len(hit):
-                best = sorted(best + [(-round(s, 12), b * BLOCK + d) for s, d in zip(got[hit].tolist(), hit.tolist(), strict=True)])[:k]
+            if len(hit) > k:  # only those that may be among the k best
+                hit = hit[got[hit] >= np.partition(got[hit], -k)[-k] - 1e-9]
+            best = sorted(best + [(-round(s, 12), d) for s, d in zip(got[hit].tolist(), hit.tolist(), strict=True)])[:k]
+
+        highest = np.zeros(self.blocks, bool)
+        highest[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        open_blocks(highest & (bound > 0))
+        rest = ~highest & (bound >= (-best[-1][0] - 1e-9 if len(best) == k else 1e-300))
+        if rest.any():
+            open_blocks(rest)
         return [(-s, d) for s, d in best]
 
 
-def telling_terms(bags: list[Counter], labels: list[int]) -> dict[str, float]:
-    """Term -> inverse document frequency over the sample, for the terms that tell the classes apart."""
+def correlations(bags: list[Counter], labels: list[int]) -> dict[str, tuple[float, float]]:
+    """Term -> (inverse document frequency, size of its correlation with the label) over the sample, for every term.
+
+    One text of a class is added to those without the term and one to those with it, so a term of one text says little.
+    """
     n, toxic = len(bags), sum(labels)
     df, among = Counter(), Counter()
     for bag, y in zip(bags, labels, strict=True):
@@ -97,12 +110,10 @@ def telling_terms(bags: list[Counter], labels: list[int]) -> dict[str, float]:
             among.update(bag.keys())
     out = {}
     for term, d in df.items():
-        if d < MIN_DF or d == n:
-            continue
-        a = among[term]
-        chi2 = n * (a * (n - toxic) - (d - a) * toxic) ** 2 / (toxic * (n - toxic) * d * (n - d))
-        if chi2 >= max(CHI2, PHI2 * n):
-            out[term] = float(np.log((1 + n) / (1 + d)) + 1)
+        a, b = among[term] + toxic / n, d - among[term] + 1 - toxic / n
+        c, e = toxic + 1 - a, n - toxic + 1 - b
+        phi = (a * e - b * c) / ((a + b) * (c + e) * (a + c) * (b + e)) ** 0.5
+        out[term] = float(np.log((1 + n) / (1 + d)) + 1), abs(float(phi))
     return out
 
 
@@ -110,41 +121,49 @@ class ToxicityModel:
     def __init__(self, sample: list[tuple[str, int, int]], counts: tuple[int, int]):
         total = sum(counts)
         self.constant = counts[1] / total if total else 0.0
-        inside, outside = [x for i, x in enumerate(sample) if i % 4], [x for i, x in enumerate(sample) if i % 4 == 0]
-        self.fitted = {y for _, y, _ in inside} == {0, 1} == {y for _, y, _ in outside}
+        self.fitted = {y for _, y, _ in sample} == {0, 1}
         if not self.fitted:
             return
-        bags = [Counter(terms_of(t)) for t, _, _ in inside]
-        idf = telling_terms(bags, [y for _, y, _ in inside])
-        self.term = {w: i for i, w in enumerate(sorted(idf))}
-        self.idf = np.array([idf[w] for w in sorted(idf)])
-        order = sorted(range(len(inside)), key=lambda i: (inside[i][1], sorted(self.term[w] for w in bags[i] if w in self.term)))
-        self.labels, self.ids = [inside[i][1] for i in order], [inside[i][2] for i in order]
-        self.index = BlockMaxIndex([self.vector(Counter({self.term[w]: c for w, c in bags[i].items() if w in self.term})) for i in order], len(self.term))
-        votes = np.array([self.vote(self.neighbours(t)) for t, _, _ in outside])
-        y = np.array([v for _, v, _ in outside], float)
+        bags = [Counter(terms_of(t)) for t, _, _ in sample]
+        known = correlations(bags, [y for _, y, _ in sample])
+        names = sorted(known)
+        self.term = {w: i for i, w in enumerate(names)}
+        self.factor = np.array([known[w][0] * (PLAIN + known[w][1]) for w in names])
+        vectors = [self.vector(b) for b in bags]
+        # alike examples side by side make block bounds tight: by class, then by the heaviest terms
+        heavy = [sorted(t[np.argsort(-w, kind="stable")[:3]].tolist()) for t, w in vectors]
+        order = sorted(range(len(sample)), key=lambda i: (sample[i][1], heavy[i], i))
+        self.labels, self.ids = np.array([sample[i][1] for i in order], float), [sample[i][2] for i in order]
+        self.index = BlockMaxIndex([vectors[i] for i in order], len(names))
+        # each sampled text votes among the others
+        votes = np.array([self.vote([(s, d) for s, d in self.index.nearest(*vectors[i], K + 1) if d != place][:K]) for place, i in enumerate(order)])
+        y = self.labels
         weight = np.where(y == 1, counts[1] / total / y.mean(), counts[0] / total / (1 - y.mean()))
         self.slope, self.intercept = logistic(votes, y, weight)
 
-    def vector(self, bag: Counter) -> dict[int, float]:
-        v = {t: (1 + np.log(c)) * self.idf[t] for t, c in bag.items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: float(x / norm) for t, x in v.items()}
+    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights of those terms of a bag that the sample holds; others are left out."""
+        term = self.term
+        known = [(term[w], c) for w, c in bag.items() if w in term]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        t, c = np.array(known).T
+        w = (1 + np.log(c)) * self.factor[t]
+        return t, w / np.sqrt((w * w).sum())
 
     def neighbours(self, text: str) -> list[tuple[float, int]]:
-        term = self.term
-        return self.index.nearest(self.vector(Counter([term[w] for w in terms_of(text) if w in term])), K)
+        return self.index.nearest(*self.vector(Counter(terms_of(text))), K)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Similarity-weighted share of toxic neighbours; FAINT damps the vote of distant ones."""
-        return sum(s for s, d in near if self.labels[d]) / (sum(s for s, _ in near) + FAINT)
+        return sum(s**SHARP for s, d in near if self.labels[d]) / (sum(s**SHARP for s, _ in near) + FAINT**SHARP)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         if not self.fitted:
             return np.full(len(texts), self.constant), [""] * len(texts)
         near = [self.neighbours(t) for t in texts]
         votes = np.array([self.vote(x) for x in near])
-        return sigmoid(votes * self.slope + self.intercept), [",".join(f"{self.ids[d]}:{self.labels[d]}:{s:.3f}" for s, d in x[:3]) for x in near]
+        return sigmoid(votes * self.slope + self.intercept), [",".join(f"{self.ids[d]}:{int(self.labels[d])}:{s:.3f}" for s, d in x[:3]) for x in near]
 
 
 def fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
