@@ -1,9 +1,11 @@
 """Operator 10: the main text of a page from flat text blocks, by a decision tree over words and link density.
 
-A page is cut into a flat row of text blocks at block-level tags. A block is described by its number of words and its link
-density (the share of its characters inside links), those of the blocks before and after it, and by what its innermost
-telling container says: an article, or a menu, notice, advert and so on, by element or by class. A decision tree, trained
-here on the small table LABELLED, decides which blocks are text of the article.
+A page is cut into a flat row of text blocks at block-level tags; the blocks of one list or table are judged as one. A block
+is described by its number of words and its link density (the share of its characters inside links) and those of the rows of
+like blocks before and after it; further by whether a container marks it as a menu, notice, advert and so on, by element or by class,
+whether it is in an article, and whether the page has one. A decision tree, trained here on the small table LABELLED,
+decides: rows of links go in and outside of articles, a lone link among prose stays; on pages without an article prose stays,
+and so do short blocks beside prose; beside an article only long prose does.
 
 Defined results: null and empty pages, and pages without such a block, give an empty text; character references are
 decoded once, after the markup is gone; runs of white space (and line breaks by <br>) in a block become one space; unclosed
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,36 +30,63 @@ from skein.llm.common import short_batches, table
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = set("script style noscript template svg math iframe object canvas audio video select button textarea title".split())
 BOILERPLATE = set("nav footer aside form menu dialog".split())
-HINTS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets".split())
+#: Parts of a class or id (between hyphens and underscores) that mark boilerplate on any element; whole names that do so on
+#: an element that holds others; parts that mark it outside of articles only, where they stand alone or with a page's word.
+MARKED = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter pager pagination popup promo promotion sidebar signup sponsor sponsored subscribe subscription toolbar widget widgets".split())
+NAMES = set("copyright legal login notice notices related search share sharing skip social tags toc".split())
+HEADS, OF_PAGE = "header", set("header site page main top global".split())
+LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption".split())
+GROUPS = set("ul ol dl table".split())
+FAR = 400
 ARTICLE = set("article main".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*+>""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-#: words, link density, words before, density before, words after, density after, container is boilerplate, container is
-#: an article, page has an article, and the class: text of the article or not
+#: words, link density, words before, density before, words after, density after, marked as boilerplate, in an article, page
+#: has an article, and the class: text of the article or not
 LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (9, 0.0, 1, 1.0, 10, 0.0, 1, 0, 1, 0),
-    (60, 0.0, 8, 0.0, 12, 0.1, 1, 0, 1, 0), (45, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 0), (12, 0.1, 80, 0.0, 0, 0.0, 1, 0, 1, 0),
-    (150, 0.05, 30, 0.0, 9, 0.0, 1, 0, 0, 0), (30, 0.0, 8, 0.0, 50, 0.0, 1, 0, 0, 0), (80, 0.1, 60, 0.0, 70, 0.0, 1, 0, 0, 0),
-    (16, 0.0, 50, 0.0, 30, 0.1, 1, 0, 0, 0), (8, 0.0, 0, 0.0, 60, 0.0, 1, 0, 0, 0), (25, 0.2, 3, 1.0, 40, 0.0, 1, 0, 1, 0),
-    (400, 0.0, 20, 0.0, 300, 0.0, 1, 0, 0, 0), (6, 0.0, 3, 0.0, 60, 0.0, 1, 0, 0, 0),
+    # marked as boilerplate
+    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (12, 1.0, 0, 0.0, 10, 0.0, 1, 0, 0, 0), (9, 0.0, 12, 1.0, 10, 0.0, 1, 0, 1, 0),
+    (60, 0.0, 8, 0.0, 12, 0.1, 1, 1, 1, 0), (45, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 0), (12, 0.1, 80, 0.0, 0, 0.0, 1, 0, 1, 0),
+    (150, 0.05, 30, 0.0, 9, 0.0, 1, 1, 1, 0), (30, 0.0, 8, 0.0, 50, 0.0, 1, 0, 0, 0), (80, 0.1, 60, 0.0, 70, 0.0, 1, 1, 1, 0),
+    (16, 0.0, 50, 0.0, 30, 0.1, 1, 0, 0, 0), (8, 0.0, 0, 0.0, 60, 0.0, 1, 1, 1, 0), (25, 0.2, 3, 1.0, 40, 0.0, 1, 0, 1, 0),
+    (400, 0.0, 20, 0.0, 300, 0.0, 1, 0, 0, 0), (6, 0.0, 3, 0.0, 60, 0.0, 1, 0, 0, 0), (5, 0.0, 90, 0.0, 90, 0.0, 1, 1, 1, 0),
+    # in an article: text, but for rows of links
     (8, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1, 1), (2, 0.0, 70, 0.0, 55, 0.0, 0, 1, 1, 1), (1, 0.0, 8, 0.0, 5, 0.0, 0, 1, 1, 1),
-    (120, 0.02, 8, 0.0, 60, 0.0, 0, 1, 1, 1), (40, 0.3, 60, 0.0, 2, 1.0, 0, 1, 1, 1), (3, 1.0, 60, 0.0, 44, 0.0, 0, 1, 1, 1),
-    (300, 0.0, 2, 1.0, 10, 0.2, 0, 1, 1, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1), (2, 1.0, 3, 1.0, 4, 1.0, 0, 1, 1, 1),
-    (25, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0), (4, 0.0, 90, 0.0, 3, 1.0, 0, 0, 1, 0), (90, 0.0, 6, 0.0, 80, 0.0, 0, 0, 1, 0),
-    (16, 0.0, 50, 0.0, 30, 0.1, 0, 0, 1, 0), (60, 0.1, 60, 0.0, 70, 0.0, 0, 0, 1, 0), (6, 0.0, 3, 0.0, 60, 0.0, 0, 0, 1, 0),
+    (120, 0.02, 8, 0.0, 60, 0.0, 0, 1, 1, 1), (40, 0.3, 60, 0.0, 2, 1.0, 0, 1, 1, 1), (300, 0.0, 2, 1.0, 10, 0.2, 0, 1, 1, 1),
+    (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1), (12, 0.0, 12, 1.0, 9, 1.0, 0, 1, 1, 1), (20, 0.5, 30, 0.1, 40, 0.0, 0, 1, 1, 1),
+    (3, 1.0, 60, 0.0, 44, 0.0, 0, 1, 1, 1), (6, 1.0, 30, 0.1, 25, 0.0, 0, 1, 1, 1), (9, 0.9, 12, 0.0, 8, 0.0, 0, 1, 1, 1),
+    (7, 0.0, 6, 0.0, 7, 0.0, 0, 1, 1, 1), (60, 0.0, 7, 0.0, 6, 0.0, 0, 1, 1, 1), (6, 0.0, 9, 0.0, 7, 0.0, 0, 1, 1, 1),
+    (12, 0.0, 10, 0.0, 8, 0.0, 0, 1, 1, 1), (30, 0.0, 30, 0.0, 7, 0.0, 0, 1, 1, 1), (4, 0.0, 5, 0.0, 6, 0.0, 0, 1, 1, 1),
+    (9, 0.1, 60, 0.0, 4, 0.0, 0, 1, 1, 1), (80, 0.0, 40, 0.0, 6, 0.0, 0, 1, 1, 1), (3, 0.0, 4, 0.0, 3, 0.0, 0, 1, 1, 1),
+    (2, 0.0, 3, 1.0, 3, 1.0, 0, 1, 1, 1), (15, 0.0, 4, 1.0, 7, 0.2, 0, 1, 1, 1), (45, 0.0, 5, 0.0, 120, 0.0, 0, 1, 1, 1),
+    (5, 0.0, 70, 0.0, 130, 0.0, 0, 1, 1, 1), (10, 0.0, 9, 0.0, 150, 0.0, 0, 1, 1, 1), (25, 0.0, 90, 0.0, 0, 0.0, 0, 1, 1, 1),
+    (3, 1.0, 2, 0.0, 60, 0.0, 0, 1, 1, 1), (4, 1.0, 5, 0.0, 8, 0.0, 0, 1, 1, 1), (6, 0.8, 8, 0.0, 4, 0.0, 0, 1, 1, 1),
+    (4, 1.0, 14, 1.0, 30, 0.0, 0, 1, 1, 0), (6, 1.0, 25, 0.9, 60, 0.0, 0, 1, 1, 0), (3, 1.0, 40, 1.0, 3, 1.0, 0, 1, 1, 0),
+    (2, 1.0, 3, 1.0, 4, 1.0, 0, 1, 1, 0), (14, 1.0, 5, 1.0, 40, 0.0, 0, 1, 1, 0), (4, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0),
+    (3, 1.0, 4, 0.9, 20, 0.0, 0, 1, 1, 0), (5, 0.9, 3, 1.0, 2, 1.0, 0, 1, 1, 0), (8, 0.95, 4, 1.0, 0, 0.0, 0, 1, 1, 0),
+    # beside an article: only long prose
+    (25, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0), (4, 0.0, 90, 0.0, 3, 1.0, 0, 0, 1, 0), (16, 0.0, 50, 0.0, 30, 0.1, 0, 0, 1, 0),
+    (6, 0.0, 3, 0.0, 60, 0.0, 0, 0, 1, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0), (30, 0.0, 12, 0.0, 60, 0.0, 0, 0, 1, 0),
+    (90, 0.7, 6, 0.0, 80, 0.0, 0, 0, 1, 0), (20, 0.9, 60, 0.0, 70, 0.0, 0, 0, 1, 0), (12, 0.0, 100, 0.0, 120, 0.0, 0, 0, 1, 0),
+    (110, 0.0, 9, 0.0, 80, 0.0, 0, 0, 1, 1), (150, 0.1, 60, 0.0, 70, 0.0, 0, 0, 1, 1), (400, 0.05, 3, 1.0, 9, 0.0, 0, 0, 1, 1),
+    # pages without an article: prose, and what stands beside prose
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (6, 0.0, 3, 0.9, 4, 0.5, 0, 0, 0, 0),
     (14, 0.9, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (30, 0.8, 5, 1.0, 40, 0.0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0),
     (8, 0.0, 4, 0.0, 6, 0.0, 0, 0, 0, 0), (60, 0.7, 50, 0.0, 40, 0.0, 0, 0, 0, 0), (3, 0.9, 70, 0.0, 50, 0.0, 0, 0, 0, 0),
+    (8, 0.0, 9, 1.0, 12, 0.0, 0, 0, 1, 0), (9, 0.0, 6, 1.0, 8, 0.0, 0, 0, 1, 0), (14, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1, 0),
+    (2, 0.0, 0, 0.0, 7, 1.0, 0, 0, 0, 0), (3, 0.0, 4, 1.0, 6, 0.0, 0, 0, 0, 0), (5, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0),
     (30, 0.0, 8, 0.0, 50, 0.0, 0, 0, 0, 1), (80, 0.1, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (25, 0.2, 3, 1.0, 40, 0.0, 0, 0, 0, 1),
     (16, 0.0, 50, 0.0, 30, 0.1, 0, 0, 0, 1), (6, 0.0, 3, 0.0, 60, 0.0, 0, 0, 0, 1), (5, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1),
     (40, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 1), (9, 0.0, 44, 0.0, 35, 0.0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 1),
     (20, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (200, 0.3, 5, 0.0, 4, 0.0, 0, 0, 0, 1), (16, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 1),
+    (1, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 1), (1, 0.0, 20, 0.0, 18, 0.0, 0, 0, 0, 1), (2, 0.0, 25, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 30, 0.1, 2, 1.0, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 24, 0.0, 0, 0, 0, 1), (7, 0.3, 28, 0.0, 22, 0.0, 0, 0, 0, 1),
 ]
 
 
-def grow(rows: list[tuple], depth: int = 7):
+def grow(rows: list[tuple], depth: int = 9):
     """A decision tree by Gini impurity: (feature, cut, tree up to the cut, tree above it), or a class."""
     ones = sum(r[-1] for r in rows)
     if ones in (0, len(rows)) or depth == 0:
@@ -95,29 +125,39 @@ def container(name: str, attributes: str, in_article: bool) -> int:
         return 1
     if name in BOILERPLATE or name == "header" and not in_article:
         return -1
-    if name in ("body", "html"):
+    if name in ("body", "html", "header"):
         return 0
     for m in NAMED.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if not HINTS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return 0 if name == "header" and in_article else -1
+        for value in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = re.split(r"[^a-z0-9]+", value)
+            if not MARKED.isdisjoint(parts) or value in NAMES and name not in LEAVES:
+                return -1
+            if HEADS in parts and not in_article and OF_PAGE.issuperset(parts):
+                return -1
     return 0
 
 
-def blocks(html: str) -> tuple[list[tuple[str, float, int]], bool]:
-    """The page's blocks in order, each (text, link density, container), and whether the page has an article."""
-    out: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, int]] = []  # open block elements and what the innermost telling one of them says
+def blocks(html: str) -> tuple[list[tuple[str, int, int, int, int]], bool]:
+    """The page's blocks in order, each (text, linked characters, marked, in article, group), and whether there is an article.
+
+    Blocks of one list or table have its number as group, others one of their own.
+    """
+    out: list[tuple[str, int, int, int, int]] = []
+    # open block elements, whether they or one around them are marked, and are an article; the outermost list or table
+    stack: list[tuple[str, int, int, int]] = []
+    opened = 0
     held: list[str] = []
     linked: list[str] = []
     links, has_article, at, size = 0, False, 0, len(html)
 
     def flush() -> None:
+        nonlocal opened
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                inside = len(" ".join(unescape("".join(linked)).split()))
-                out.append((text, min(1.0, inside / len(text)), stack[-1][1] if stack else 0))
+                opened += 1
+                _, marked, article, group = stack[-1] if stack else ("", 0, 0, 0)
+                out.append((text, min(len(text), len(" ".join(unescape("".join(linked)).split()))), marked, article, group or -opened))
             held.clear()
             linked.clear()
 
@@ -156,23 +196,47 @@ def blocks(html: str) -> tuple[list[tuple[str, float, int]], bool]:
             elif name not in ("p", "hr", "li", "dt", "dd", "td", "th", "tr") or NAMED.search(attributes):
                 while stack and stack[-1][0] in ("p", "li", "dt", "dd", "td", "th", "tr"):
                     stack.pop()  # their end tags may be left out
-                above = stack[-1][1] if stack else 0
-                said = container(name, attributes, above == 1)
+                _, marked, article, group = stack[-1] if stack else ("", 0, 0, 0)
+                said = container(name, attributes, bool(article))
                 has_article |= said == 1
+                if name in GROUPS and not group:
+                    opened += 1
+                    group = opened
                 if name != "hr":
-                    stack.append((name, said or above))
+                    # an article inside a marked element is the page's text all the same; what is marked in an article is not
+                    stack.append((name, int(said < 0 or marked and said != 1), int(said == 1 or article), group))
     flush()
     return out, has_article
 
 
+def _row_of(units: list[tuple], kind: list[tuple], places: range) -> tuple[int, float]:
+    """Words and link density of the units at places up to the first of another kind than the nearest; none counts as 0.
+
+    Beyond FAR words more make no difference, so long pages are read in linear time.
+    """
+    words = linked = 0
+    for j in places:
+        if kind[j] != kind[places[0]] or words > FAR:
+            break
+        words, linked = words + units[j][1], linked + units[j][1] * units[j][2]
+    return words, linked / words if words else 0.0
+
+
 def main_text(html: str | None) -> str:
     row, has_article = blocks(html or "")
-    facts = [(0, 0.0), *((len(t.split()), d) for t, d, _ in row), (0, 0.0)]
+    units: list[tuple] = []
+    for _, unit in groupby(row, key=lambda x: x[2:]):
+        texts = list(unit)
+        units.append((texts, sum(len(t[0].split()) for t in texts), sum(t[1] for t in texts) / sum(len(t[0]) for t in texts)))
+    # neighbours are rows of units of one kind: what is before a unit in its own row, or all of the row before it
+    kind = [(density > 0.5, texts[0][2], texts[0][3]) for texts, _, density in units]
     kept = []
-    for i, (text, _, said) in enumerate(row, 1):
-        features = (*facts[i], *facts[i - 1], *facts[i + 1], int(said < 0), int(said > 0), int(has_article))
-        if decide(features, tree()):
-            kept.append(text)
+    for i, (texts, words, density) in enumerate(units):
+        before, after = _row_of(units, kind, range(i - 1, -1, -1)), _row_of(units, kind, range(i + 1, len(units)))
+        if len(texts) > 1 and density > 0.5:  # in a list of links the neighbours of a block are other links
+            before = after = words // len(texts), density
+        if decide((words, density, *before, *after, texts[0][2], texts[0][3], int(has_article)), tree()):
+            kept += [t[0] for t in texts]
     return "\n".join(kept)
 
 
