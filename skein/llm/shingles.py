@@ -117,6 +117,18 @@ def shingles_of(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def sequences_of(words: np.ndarray, n: int) -> np.ndarray:
+    """The number of every run of n words: shingles for WIDTH words, the numbers of such short whole texts for fewer."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    if n == WIDTH:
+        return shingles_of(words)
+    out = words[: len(words) - n + 1] * _PLACE[0]
+    for k in range(1, n):
+        out = out + words[k : len(words) - n + 1 + k] * _PLACE[k]
+    return mix(out + np.uint64(n))
+
+
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle numbers of each text."""
     words, ends = words_of(texts)
