@@ -93,3 +93,34 @@ def test_findings_after_a_raised_version(spark):
     got = sorted((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans or []]) for r in secrets.findings(docs, ledger, raised).collect())
     both = [("access", 0, 20), ("hex", 21, 41)]
     assert got == [(1, both), (2, both), (3, [])]
+
+
+def test_a_ledger_on_disk_takes_a_second_set_of_versions(spark, tmp_path):
+    texts = [SECRET, "a" * 40, None, "password=" + "z" * 30]
+    docs = keyed_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    path = f"file://{tmp_path}/ledger"
+    first = secrets.extend(path, docs.where("doc_id < 2"))
+    assert first.count() == 2
+    more = docs.unionByName(spark.createDataFrame([(9, SECRET), (10, "deadbeefdeadbeef99")], "doc_id long, text string"))
+    both = secrets.extend(path, more)
+    assert both.count() == 5 and secrets.extend(path, more).count() == 5  # only unseen blobs are scanned
+    got = {r.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans or []) for r in secrets.findings(more, both).collect()}
+    assert got == {i: plain_spans(t) for i, t in [*enumerate(texts), (9, SECRET), (10, "deadbeefdeadbeef99")]}
+
+
+def test_preference_pairs_of_the_table_share_their_prompt(spark):
+    got = preference.op4_preference(spark, DATA).collect()
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet").groupBy("conv_id").count().collect()
+    assert {r.chosen_id for r in got} == {r.conv_id for r in turns} and sum(r.prompt_turns > 0 for r in got) >= 0.9 * len(got)
+    assert sum(r.chosen != r.rejected and ":1" in r.chosen_mask for r in got) >= 0.5 * len(got)
+
+
+def test_preference_edges(spark):
+    rows = [(0, 0, "user", "a", 1), (0, 1, "assistant", "b", 1), (1, None, None, None, 1), (1, 0, "user", "c", 1), (1, 0, "user", "c", 1), (2, 0, "assistant", "x", 1), (None, 0, "user", "lost", 1)]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, pair_id int")
+    got = {r.pair_id: r for r in preference.rendered(preference.answered(d)).collect()}
+    assert sorted(got) == [0, 1, 2]
+    assert got[0].rejected == "" and got[0].prompt_turns == 1 and got[0].chosen == "<|assistant|>\nb<|end|>\n"
+    assert got[1].prompt_turns == 3 and got[1].chosen == "" and got[1].rejected == "<|assistant|>\nb<|end|>\n" and got[1].rejected_id == 0
+    assert got[2].rejected == "" and got[2].prompt_turns == 0
+    assert preference.rendered(preference.answered(d.where("false"))).count() == 0
