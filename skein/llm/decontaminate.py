@@ -146,7 +146,7 @@ def slots(number: Column) -> Column:
 
 def sieve(items: DataFrame) -> bytes:
     """The bitmap of all numbers of the items; its size is BITS / 8 bytes, whatever their number."""
-    place = items.select(F.explode("numbers").alias("x")).distinct().select((F.explode(slots(F.col("x"))) + 1).alias("x"))
+    place = items.select(F.explode("numbers").alias("x")).distinct().select(F.explode(slots(F.col("x"))).alias("x")).select((F.col("x") + 1).alias("x"))
     parts = place.groupBy(F.bitmap_bucket_number("x").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     out = bytearray(BITS // 8)
     for r in parts.collect():  # BITS / 32768 rows at most
