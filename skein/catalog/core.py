@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import sources as S
 from skein import streaming as ST
+from skein.catalog.registered import query
 from skein.functions import normal_name, not_later
 from skein.operators import export as X
 from skein.operators import graph as G
@@ -18,9 +16,6 @@ from skein.operators import temporal as T
 from skein.operators import text as P
 from skein.plans.storage import shared_folder
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 LEDGER = """l AS (SELECT user_id AS character, event_type AS category, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS name,
     CAST(round(value) AS BIGINT) AS delta, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) + 1 AS chapter, event_id AS ord FROM events)"""
 SPANS = """i AS (SELECT character, category, chapter AS valid_from, CAST(lead(chapter) OVER (PARTITION BY character, category ORDER BY chapter) - 1 AS INT) AS valid_to
@@ -48,18 +43,6 @@ def normal_sql(x: str) -> str:
     return out
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its oracle if SQL can say it."""
-
-    def take(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return take
-
-
 # --- state in time ----------------------------------------------------------------------------------------------------
 
 
