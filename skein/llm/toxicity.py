@@ -5,8 +5,9 @@ inverse document frequency times a factor of the label, PLAIN plus the term's co
 that two texts are alike first of all by words that tell the classes apart; no term is left out. The postings of a term
 are cut into blocks of BLOCK examples and keep the largest weight of each block, so a query adds up an upper bound for
 every block, opens the blocks of the highest bounds, and then all whose bound exceeds the K-th best similarity found: the
-K nearest are exact. Their similarities vote, weighted by their power SHARP, and a logistic curve fitted on votes of the
-sampled texts among the others turns the vote into a score. The nearest examples are returned as evidence.
+K nearest are exact. The ROWS terms of most weight in all examples have rows of weights in place of postings; what they add up
+to is known for all examples at once, and its largest value is part of a block's bound. The nearest vote by their
+similarities, and a logistic curve fitted on votes of the sampled texts among the others turns the vote into a score. The nearest examples are returned as evidence.
 
 Defined results: null and empty texts, and texts without any term of the sample, have no neighbour and get the curve's value
 at a vote of 0; equal similarities are ranked by the example's place in the index; without labels of both classes the score
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +27,44 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import crc_is, keyed_text, labelled_sample, logistic, short_batches, sigmoid, table
 
-BLOCK, K = 64, 15
+BLOCK, K = 512, 15
 #: Factor of a term that says nothing of the label; its correlation with the label is added.
 PLAIN = 0.05
-#: Power of a similarity in a vote; similarity whose power is added to the denominator, so that faint neighbours weigh little.
-SHARP, FAINT = 1.0, 0.2
+#: Similarity that is added to the denominator of a vote, so that faint neighbours weigh little.
+FAINT = 0.2
 #: Bounds of the fit: labelled texts a class, and characters of a text that may be among them.
-PER_CLASS, LONGEST = 3000, 20_000
+PER_CLASS, LONGEST = 3000, 50_000
 #: Blocks that are opened before the rest is judged by its bounds.
-FIRST_BLOCKS = 6
+FIRST_BLOCKS = 2
+#: Terms with rows of weights; texts that are searched at once.
+ROWS, AT_ONCE = 1000, 64
+#: Words that a worker remembers.
+REMEMBERED = 200_000
 WORD = re.compile(r"\w+")
 #: Words of more than STEM letters also count as their first STEM letters, which joins inflected and compound forms.
 STEM = 5
 
 
-def terms_of(text: str) -> list[str]:
-    words = WORD.findall(text.lower())
-    return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
+def bag_of(text: str) -> dict[str, int]:
+    """Terms of a text and how often each occurs: words, and first letters of long ones (marked, so that no word is one)."""
+    bag: dict[str, int] = Counter(WORD.findall(text.lower()))
+    for w, n in list(bag.items()):
+        if len(w) > STEM:
+            bag[w[:STEM] + "*"] += n
+    return bag
+
+
+class Places(dict):
+    """The numbers of a word and of its beginning, or -1; begun anew when it is full."""
+
+    def __init__(self, term: dict[str, int]):
+        self.term = term
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[word] = self.term.get(word, -1), self.term.get(word[:STEM] + "*", -1) if len(word) > STEM else -1
+        return out
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -52,52 +75,70 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Inverted index over sparse vectors (terms, weights) of at most a few thousand examples."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, rows: int = ROWS):
         self.size = len(vectors)
         self.blocks = -(-self.size // BLOCK)
         of = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
-        docs = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
+        docs = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
         order = np.lexsort((docs, of))
-        self.docs, of = docs[order], of[order]
-        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        docs, of, weights = docs[order], of[order], np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        frequent = np.argsort(-np.bincount(of, weights**2, terms), kind="stable")[:rows]
+        #: the row of a term, or -1
+        self.row = np.full(terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        rare = self.row[of] < 0
+        self.rows[self.row[of[~rare]], docs[~rare]] = weights[~rare]
+        self.docs, of, self.weights = docs[rare], of[rare], weights[rare]
         block = self.docs // BLOCK
         first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (block[1:] != block[:-1])]) if len(of) else np.zeros(0, np.int64)
-        #: an entry is a term in a block: its block, its first posting, their number, their largest weight
+        #: an entry is a rare term in a block: its block, its first posting, their number, their largest weight
         self.block, self.first, self.count = block[first], first, np.diff(np.r_[first, len(of)])
         self.top = np.maximum.reduceat(self.weights, first) if len(of) else np.zeros(0)
         self.begin = np.searchsorted(of[first], np.arange(terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k examples of largest positive similarity: (similarity, example), best first, ties by example."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query, the k examples of largest positive similarity: (similarity, example), best first, ties by example."""
+        if not self.size:
+            return [[] for _ in queries]
+        m, width = len(queries), self.blocks * BLOCK
+        known = np.zeros((m, len(self.rows)), np.float32)
+        of = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        row = self.row[terms]
+        known[of[row >= 0], row[row >= 0]] = weights[row >= 0]
+        of, terms, weights = of[row < 0], terms[row < 0], weights[row < 0]
+        got = (known @ self.rows).astype(float)
         held = self.begin[terms + 1] - self.begin[terms]
-        entry = ranges(self.begin[terms], held)
-        if not len(entry):
-            return []
-        own, block = np.repeat(weights, held), self.block[entry]
-        bound = np.bincount(block, own * self.top[entry], self.blocks)
-        best: list[tuple[float, int]] = []
+        entry, own, of = ranges(self.begin[terms], held), np.repeat(weights, held), np.repeat(of, held)
+        cell = of * self.blocks + self.block[entry]
+        bound = np.bincount(cell, own * self.top[entry], m * self.blocks).reshape(m, -1) + got.reshape(m, -1, BLOCK).max(2)
 
         def open_blocks(some: np.ndarray) -> None:
-            nonlocal best
-            mine = some[block]
-            e = entry[mine]
-            at = ranges(self.first[e], self.count[e])
-            got = np.bincount(self.docs[at], self.weights[at] * np.repeat(own[mine], self.count[e]), self.size)
-            hit = np.flatnonzero(got > (-best[-1][0] - 1e-9 if len(best) == k else 0))
-            if len(hit) > k:  # only those that may be among the k best
-                hit = hit[got[hit] >= np.partition(got[hit], -k)[-k] - 1e-9]
-            best = sorted(best + [(-round(s, 12), d) for s, d in zip(got[hit].tolist(), hit.tolist(), strict=True)])[:k]
-
-        highest = np.zeros(self.blocks, bool)
-        highest[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        open_blocks(highest & (bound > 0))
-        rest = ~highest & (bound >= (-best[-1][0] - 1e-9 if len(best) == k else 1e-300))
-        if rest.any():
-            open_blocks(rest)
-        return [(-s, d) for s, d in best]
-
-
-def correlations(bags: list[Counter], labels: list[int]) -> dict[str, tuple[float, float]]:
+            mine = np.flatnonzero(some.ravel()[cell])
+            count = self.count[entry[mine]]
+            at = ranges(self.first[entry[mine]], count)
+            got.ravel()[:] += np.bincount(self.docs[at] + np.repeat(of[mine] * width, count), self.weights[at] * np.repeat(own[mine], count), m * width)
+
+        def kth(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            seen = np.where(np.repeat(some, BLOCK, 1), got, 0)
+            return seen, np.partition(seen, -k, 1)[:, -k] if k <= width else np.zeros(m)
+
+        first = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, 1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
+        first &= bound > 0
+        open_blocks(first)
+        rest = ~first & (bound > 0) & (bound >= kth(first)[1][:, None] - 1e-6)
+        open_blocks(rest)
+        seen, least = kth(first | rest)
+        out = []
+        for s, low in zip(seen, least, strict=True):
+            best = np.flatnonzero(s > max(0.0, low - 1e-6))
+            out.append(sorted(zip((-s[best]).round(6).tolist(), best.tolist(), strict=True))[:k])
+        return [[(-s, d) for s, d in near] for near in out]
+
+
+def correlations(bags: list[dict[str, int]], labels: list[int]) -> dict[str, tuple[float, float]]:
     """Term -> (inverse document frequency, size of its correlation with the label) over the sample, for every term.
 
     One text of a class is added to those without the term and one to those with it, so a term of one text says little.
@@ -124,44 +165,49 @@ class ToxicityModel:
         self.fitted = {y for _, y, _ in sample} == {0, 1}
         if not self.fitted:
             return
-        bags = [Counter(terms_of(t)) for t, _, _ in sample]
+        bags = [bag_of(t) for t, _, _ in sample]
         known = correlations(bags, [y for _, y, _ in sample])
         names = sorted(known)
         self.term = {w: i for i, w in enumerate(names)}
         self.factor = np.array([known[w][0] * (PLAIN + known[w][1]) for w in names])
-        vectors = [self.vector(b) for b in bags]
+        self.places = Places(self.term)
+        vectors = [self.vector(t) for t, _, _ in sample]
         # alike examples side by side make block bounds tight: by class, then by the heaviest terms
         heavy = [sorted(t[np.argsort(-w, kind="stable")[:3]].tolist()) for t, w in vectors]
         order = sorted(range(len(sample)), key=lambda i: (sample[i][1], heavy[i], i))
         self.labels, self.ids = np.array([sample[i][1] for i in order], float), [sample[i][2] for i in order]
         self.index = BlockMaxIndex([vectors[i] for i in order], len(names))
         # each sampled text votes among the others
-        votes = np.array([self.vote([(s, d) for s, d in self.index.nearest(*vectors[i], K + 1) if d != place][:K]) for place, i in enumerate(order)])
+        votes = np.array([self.vote([(s, d) for s, d in near if d != place][:K]) for place, near in enumerate(self.nearest([vectors[i] for i in order], K + 1))])
         y = self.labels
         weight = np.where(y == 1, counts[1] / total / y.mean(), counts[0] / total / (1 - y.mean()))
         self.slope, self.intercept = logistic(votes, y, weight)
 
-    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights of those terms of a bag that the sample holds; others are left out."""
-        term = self.term
-        known = [(term[w], c) for w, c in bag.items() if w in term]
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        t, c = np.array(known).T
-        w = (1 + np.log(c)) * self.factor[t]
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights of those terms of a text that the sample holds; others are left out."""
+        words = Counter(WORD.findall(text.lower()))
+        t = np.fromiter(chain.from_iterable(map(self.places.__getitem__, words)), np.int64, 2 * len(words))
+        c = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 2)
+        t, c = t[t >= 0], c[t >= 0]
+        if not len(t):
+            return t, np.zeros(0)
+        t, of = np.unique(t, return_inverse=True)
+        w = (1 + np.log(np.bincount(of, c))) * self.factor[t]
         return t, w / np.sqrt((w * w).sum())
 
-    def neighbours(self, text: str) -> list[tuple[float, int]]:
-        return self.index.nearest(*self.vector(Counter(terms_of(text))), K)
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        return [near for at in range(0, len(vectors), AT_ONCE) for near in self.index.search(vectors[at : at + AT_ONCE], k)]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Similarity-weighted share of toxic neighbours; FAINT damps the vote of distant ones."""
-        return sum(s**SHARP for s, d in near if self.labels[d]) / (sum(s**SHARP for s, _ in near) + FAINT**SHARP)
+        return sum(s for s, d in near if self.labels[d]) / (sum(s for s, _ in near) + FAINT)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         if not self.fitted:
             return np.full(len(texts), self.constant), [""] * len(texts)
-        near = [self.neighbours(t) for t in texts]
+        own = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # equal texts are searched once
+        found = self.nearest([self.vector(t) for t in own], K)
+        near = [found[own[t]] for t in texts]
         votes = np.array([self.vote(x) for x in near])
         return sigmoid(votes * self.slope + self.intercept), [",".join(f"{self.ids[d]}:{int(self.labels[d])}:{s:.3f}" for s, d in x[:3]) for x in near]
 

@@ -43,7 +43,6 @@ def area(labels):
 def test_toxicity_equals_plain_cosine(spark):
     """Neighbours, votes and scores of the table against sums over all pairs of texts and examples."""
     import math
-    from collections import Counter
 
     import numpy as np
 
@@ -53,12 +52,12 @@ def test_toxicity_equals_plain_cosine(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
 
     def unit(text):
-        v = {model.term[w]: (1 + math.log(c)) * model.factor[model.term[w]] for w, c in Counter(toxicity.terms_of(text or "")).items() if w in model.term}
+        v = {model.term[w]: (1 + math.log(c)) * model.factor[model.term[w]] for w, c in toxicity.bag_of(text or "").items() if w in model.term}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / size for t, x in v.items()}
 
     examples = [unit(texts[d]) for d in model.ids]
-    assert len(model.term) == len({w for d in model.ids for w in toxicity.terms_of(texts[d])})
+    assert len(model.term) == len({w for d in model.ids for w in toxicity.bag_of(texts[d])})
     got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, DATA).collect()}
     for d, text in texts.items():
         v = unit(text)
@@ -142,13 +141,14 @@ def test_block_max_search_is_exact():
     r = random.Random(1)
     vectors = [{t: r.random() for t in r.sample(range(40), r.randint(0, 8))} for _ in range(1700)]
     rows = [(np.array(sorted(v), np.int64), np.array([v[t] for t in sorted(v)])) for v in vectors]
-    index = toxicity.BlockMaxIndex(rows, 40)
-    for _ in range(60):
-        q = {t: r.random() for t in r.sample(range(40), r.randint(0, 9))}
-        every = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(vectors))
-        got = index.nearest(np.array(list(q), np.int64), np.array(list(q.values())), 15)
-        assert np.allclose([s for s, _ in got], [-s for s, _ in every[:15] if s < 0], atol=1e-8) and len(got) == min(15, sum(s < 0 for s, _ in every))
-    assert toxicity.BlockMaxIndex([], 3).nearest(np.array([1]), np.array([1.0]), 5) == []
+    for dense in (0, 5, 40):
+        index = toxicity.BlockMaxIndex(rows, 40, dense)
+        queries = [{t: r.random() for t in r.sample(range(40), r.randint(0, 9))} for _ in range(60)]
+        got = index.search([(np.array(list(q), np.int64), np.array(list(q.values()))) for q in queries], 15)
+        for q, near in zip(queries, got, strict=True):
+            every = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 6), i) for i, v in enumerate(vectors))
+            assert np.allclose([s for s, _ in near], [-s for s, _ in every[:15] if s < 0], atol=3e-6) and len(near) == min(15, sum(s < 0 for s, _ in every))
+    assert toxicity.BlockMaxIndex([], 3).search([(np.array([1]), np.array([1.0]))], 5) == [[]]
 
 
 @pytest.fixture(scope="module")
