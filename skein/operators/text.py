@@ -36,7 +36,7 @@ def chapter_number(raw: Column) -> Column:
     words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
     known = F.create_map(*[F.lit(x) for i, w in enumerate(words, 1) for x in (w, i)], F.lit("epilogue"), F.lit(9999), F.lit("prologue"), F.lit(0))
     key = F.lower(F.trim(raw))
-    return F.coalesce(key.try_cast("int"), known[key], F.lit(0))
+    return F.coalesce(F.when(key.rlike("^[0-9]+$"), key.try_cast("int")), known[key], F.lit(0))
 
 
 def capitalised(text: Column) -> Column:
