@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -138,12 +139,12 @@ class BlockMaxIndex:
         return [[(-s, d) for s, d in near] for near in out]
 
 
-def correlations(bags: list[dict[str, int]], labels: list[int]) -> dict[str, tuple[float, float]]:
+def correlations(bags: Iterable[dict[str, int]], labels: list[int]) -> dict[str, tuple[float, float]]:
     """Term -> (inverse document frequency, size of its correlation with the label) over the sample, for every term.
 
     One text of a class is added to those without the term and one to those with it, so a term of one text says little.
     """
-    n, toxic = len(bags), sum(labels)
+    n, toxic = len(labels), sum(labels)
     df, among = Counter(), Counter()
     for bag, y in zip(bags, labels, strict=True):
         df.update(bag.keys())
@@ -165,8 +166,7 @@ class ToxicityModel:
         self.fitted = {y for _, y, _ in sample} == {0, 1}
         if not self.fitted:
             return
-        bags = [bag_of(t) for t, _, _ in sample]
-        known = correlations(bags, [y for _, y, _ in sample])
+        known = correlations((bag_of(t) for t, _, _ in sample), [y for _, y, _ in sample])
         names = sorted(known)
         self.term = {w: i for i, w in enumerate(names)}
         self.factor = np.array([known[w][0] * (PLAIN + known[w][1]) for w in names])
