@@ -182,6 +182,7 @@ class ToxicityModel:
         y = self.labels
         weight = np.where(y == 1, counts[1] / total / y.mean(), counts[0] / total / (1 - y.mean()))
         self.slope, self.intercept = logistic(votes, y, weight)
+        self.places.clear()  # workers begin their own
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights of those terms of a text that the sample holds; others are left out."""
