@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from skein import sources as S
 from skein import streaming as ST
 from skein.catalog.registered import query
-from skein.functions import normal_name, not_later
+from skein.functions import ARTICLES, not_later, with_normal_name
 from skein.operators import export as X
 from skein.operators import graph as G
 from skein.operators import resolve as N
 from skein.operators import retrieval as R
 from skein.operators import temporal as T
 from skein.operators import text as P
+from skein.operators.chapters import BOX_MARK, SCENE_MARK, SPEECH, chunks, read_each
 from skein.plans.storage import shared_folder
 
 LEDGER = """l AS (SELECT user_id AS character, event_type AS category, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS name,
     CAST(round(value) AS BIGINT) AS delta, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) + 1 AS chapter, event_id AS ord FROM events)"""
-SPANS = """i AS (SELECT character, category, chapter AS valid_from, CAST(lead(chapter) OVER (PARTITION BY character, category ORDER BY chapter) - 1 AS INT) AS valid_to
-    FROM (SELECT DISTINCT character, category, chapter FROM l))"""
+SPANS = """v AS (SELECT character, category, chapter, arg_max(name, ord) AS name FROM l GROUP BY ALL), u AS (SELECT *, lag(name) OVER w AS before, row_number() OVER w AS nth FROM v WINDOW w AS (PARTITION BY character, category ORDER BY chapter)),
+    i AS (SELECT character, category, name, chapter AS valid_from, CAST(lead(chapter) OVER (PARTITION BY character, category ORDER BY chapter) - 1 AS INT) AS valid_to FROM u WHERE nth = 1 OR name <> before)"""
 NODES = " UNION ALL ".join(
     f"SELECT '{label}:' || {key} AS id, '{label}' AS label, CAST({name} AS VARCHAR) AS name FROM {t}"
     for t, label, key, name in (("region", "Region", "r_regionkey", "r_name"), ("nation", "Nation", "n_nationkey", "n_name"), ("customer", "Customer", "c_custkey", "c_name"), ("supplier", "Supplier", "s_suppkey", "s_name"), ("part", "Part", "p_partkey", "p_name"), ("orders", "Order", "o_orderkey", "o_orderkey"))
@@ -33,11 +34,10 @@ EDGES = """e AS (SELECT 'Nation:' || n_nationkey AS src, 'IN_REGION' AS rel, 'Re
     UNION ALL SELECT DISTINCT 'Part:' || l_partkey, 'SUPPLIED_BY', 'Supplier:' || l_suppkey, CAST(NULL AS INT) FROM lineitem)"""
 BOTH = "b AS (SELECT src AS a, rel, dst AS b, 'out' AS direction FROM e UNION ALL SELECT dst, rel, src, 'in' FROM e)"
 LINES = "p AS (SELECT doc_id, CAST(i - 1 AS INT) AS position, t[i] AS text FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)))"
-ARTICLES = ["the ", "a ", "an ", "le ", "la ", "les ", "l'", "un ", "une ", "des ", "du ", "de la ", "de l'", "de ", "d'"]
 
 
 def normal_sql(x: str) -> str:
-    out = f"trim(lower({x}))"
+    out = f"lower(trim(nfc_normalize({x})))"
     for a in ARTICLES:
         out = "regexp_replace({}, '^{}', '')".format(out, a.replace("'", "''"))
     return out
@@ -126,7 +126,7 @@ def interval_join_sequence(spark, d):
 
 
 @query(f"""WITH {LEDGER}, {SPANS}, x AS (SELECT character, category, max(chapter) AS ended_at FROM l WHERE category = 'error' GROUP BY ALL)
-    SELECT i.character, i.category, valid_from, CASE WHEN valid_to IS NULL AND ended_at >= valid_from THEN ended_at ELSE valid_to END AS valid_to FROM i LEFT JOIN x USING (character, category)""")
+    SELECT i.character, i.category, i.name, valid_from, CASE WHEN valid_to IS NULL AND ended_at >= valid_from THEN ended_at ELSE valid_to END AS valid_to FROM i LEFT JOIN x USING (character, category)""")
 def relation_ends(spark, d):
     ledger = S.ledger(spark, d)
     ends = ledger.where("category = 'error'").groupBy("character", "category").agg(F.max("chapter").alias("ended_at"))
@@ -264,13 +264,13 @@ def rare_type_prune(spark, d):
     return G.rare_types(typed, 8).groupBy("type").agg(F.count("*").alias("n"))
 
 
-PAIRS = f"""{EDGES}, c AS (SELECT DISTINCT src, dst FROM e WHERE rel = 'CONTAINS'), w AS (SELECT dst FROM c GROUP BY 1 HAVING count(*) <= 20),
-    q AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM c x JOIN c y ON x.dst = y.dst AND x.src < y.src WHERE x.dst IN (SELECT dst FROM w) GROUP BY ALL)"""
+PAIRS = f"""{EDGES}, c AS (SELECT DISTINCT src, dst FROM e WHERE rel = 'CONTAINS'),
+    q AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM c x JOIN c y ON x.dst = y.dst AND x.src <> y.src WHERE CAST(split_part(x.src, ':', 2) AS BIGINT) % 20 = 0 GROUP BY ALL)"""
 
 
 @query(f"WITH {PAIRS} SELECT a, b, shared FROM q")
 def co_contained(spark, d):
-    return G.co_members(S.edges(spark, d), "CONTAINS", 20)
+    return G.co_members(S.edges(spark, d), "CONTAINS", F.substring_index("src", ":", -1).cast("long") % 20 == 0)
 
 
 @query("""WITH m AS (SELECT o_custkey AS child, l_suppkey AS parent, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
@@ -297,32 +297,41 @@ def exact_dedup_docs(spark, d):
     return N.exact(rows, "h", "doc_id")
 
 
-@query(f"SELECT DISTINCT p_name AS name, {normal_sql('''CASE p_partkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'de la ' ELSE '' END || p_name''')} AS normal, p_partkey % 3 AS variant FROM part")
+@query(f"SELECT DISTINCT p_name AS name, {normal_sql('''CASE p_partkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'de la ' ELSE 'E' || chr(769) || 'le ' END || p_name''')} AS normal, p_partkey % 3 AS variant FROM part")
 def normalise_names(spark, d):
     k = F.col("p_partkey") % 3
-    prefix = F.when(k == 0, "The ").when(k == 1, "de la ").otherwise("")
-    return S.read(spark, d, "part").select(F.col("p_name").alias("name"), normal_name(F.concat(prefix, "p_name")).alias("normal"), k.alias("variant")).distinct()
+    prefix = F.when(k == 0, "The ").when(k == 1, "de la ").otherwise("E\u0301le ")
+    rows = S.read(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(prefix, "p_name").alias("given"), k.alias("variant"))
+    return with_normal_name(rows, "given", "normal").select("name", "normal", "variant").distinct()
 
 
-FUZZY = f"""f AS (SELECT DISTINCT {normal_sql('p_name')} AS name FROM part), g AS (SELECT x.name AS a, y.name AS b, round(1 - levenshtein(x.name, y.name) / CAST(greatest(length(x.name), length(y.name)) AS DOUBLE), 6) AS ratio
-    FROM f x JOIN f y ON split_part(x.name, ' ', 1) = split_part(y.name, ' ', 1) AND x.name < y.name)"""
+def _names(spark, d):
+    return S.read(spark, d, "part").select(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("the "), "p_name")).otherwise(F.col("p_name")).alias("name"))
 
 
-@query(f"WITH {FUZZY} SELECT * FROM g WHERE ratio >= 0.7")
+@query()
 def fuzzy_pairs(spark, d):
-    return N.fuzzy_pairs(S.read(spark, d, "part").select(F.col("p_name").alias("name")), 0.7)
+    """Names whose best of four ratios is 85 or more; a test holds them against all pairs."""
+    return N.fuzzy_pairs(_names(spark, d), 85)
+
+
+@query()
+def fuzzy_tiers(spark, d):
+    """Merges of the definite tier and candidates of the other."""
+    sure, rest = N.tiers(N.fuzzy_pairs(_names(spark, d), 85))
+    return sure.select("alias", "canonical", F.lit("merge").alias("fate")).unionByName(rest.select(F.col("a").alias("alias"), F.col("b").alias("canonical"), F.lit("review").alias("fate")))
 
 
 @query()
 def alias_closure(spark, d):
     """Canonical names of the fuzzy pairs' components; a test holds it against a union-find."""
-    return N.closure(N.fuzzy_pairs(S.read(spark, d, "part").select(F.col("p_name").alias("name")), 0.7).select("a", "b"))
+    return N.closure(N.tiers(N.fuzzy_pairs(_names(spark, d), 85))[0].select(F.col("alias").alias("a"), F.col("canonical").alias("b")))
 
 
 @query("SELECT a.n_name AS name, coalesce(r.r_name, a.n_name) AS renamed FROM nation a LEFT JOIN region r ON a.n_regionkey = r.r_regionkey AND a.n_nationkey % 2 = 0")
 def apply_aliases(spark, d):
     n, r = S.read(spark, d, "nation"), S.read(spark, d, "region")
-    aliases = n.where("n_nationkey % 2 = 0").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("canonical"))
+    aliases = n.where("n_nationkey % 2 = 0").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("canonical"))
     return N.rename(n.select("n_name", F.col("n_name").alias("renamed")), "renamed", aliases).select(F.col("n_name").alias("name"), "renamed")
 
 
@@ -350,20 +359,20 @@ def _top_sql(table: str, k: int) -> str:
     return f"SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INT) AS rank FROM {table} QUALIFY rank <= {k}"
 
 
-BM25_DOCS = _bm25_sql("SELECT doc_id, coalesce(text, '') AS text FROM documents", "SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 10", 1.2)
+BM25_DOCS = _bm25_sql("SELECT doc_id, coalesce(text, '') AS text FROM documents", "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0", 1.2)
 
 
 def _bm25_docs(spark, d):
     docs = S.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    asked = S.read(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    asked = S.read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
     return R.bm25(docs, asked, 1.2, 0.75)
 
 
-@query(f"WITH {_bm25_sql('SELECT p_partkey AS doc_id, p_name AS text FROM part', 'SELECT p_partkey AS query_id, p_name AS text FROM part WHERE p_partkey <= 10', 1.5)}, r AS ({_top_sql('s', 5)}) SELECT * FROM r")
+@query(f"WITH {_bm25_sql('SELECT p_partkey AS doc_id, p_name AS text FROM part', 'SELECT p_partkey AS query_id, p_name AS text FROM part WHERE p_partkey % 20 = 0', 1.5)}, r AS ({_top_sql('s', 5)}) SELECT * FROM r")
 def bm25_names(spark, d):
     part = S.read(spark, d, "part")
     docs = part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return R.top(R.bm25(docs, docs.where("doc_id <= 10").withColumnRenamed("doc_id", "query_id"), 1.5, 0.75), 5)
+    return R.top(R.bm25(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 1.5, 0.75), 5)
 
 
 @query(f"WITH {BM25_DOCS}, r AS ({_top_sql('s', 10)}) SELECT * FROM r")
@@ -373,18 +382,17 @@ def bm25_docs_topk(spark, d):
 
 DENSE = """v AS (SELECT q.vec_id AS query_id, i.vec_id AS doc_id, list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) /
     (sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) AS score
-    FROM embeddings i, embeddings q WHERE q.vec_id < 10 AND i.vec_id <> q.vec_id)"""
+    FROM embeddings i, embeddings q WHERE q.vec_id % 20 = 0 AND i.vec_id <> q.vec_id)"""
 
 
-def _dense(spark, d):
+def _dense(spark, d, k, asked="vec_id % 20 = 0"):
     v = S.read(spark, d, "embeddings")
-    asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return R.dense(v.select(F.col("vec_id").alias("doc_id"), "embedding"), asked)
+    return R.dense(v.select(F.col("vec_id").alias("doc_id"), "embedding"), v.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
 
 
 @query(f"WITH {DENSE}, r AS ({_top_sql('v', 5)}) SELECT * FROM r")
 def dense_topk(spark, d):
-    return R.top(_dense(spark, d), 5)
+    return R.top(_dense(spark, d, 5), 5)
 
 
 RRF = f"""{BM25_DOCS}, {DENSE}, lx AS ({_top_sql('s', 30)}), dn AS ({_top_sql('v', 30)}),
@@ -393,26 +401,26 @@ RRF = f"""{BM25_DOCS}, {DENSE}, lx AS ({_top_sql('s', 30)}), dn AS ({_top_sql('v
 
 @query(f"WITH {RRF}, r AS ({_top_sql('z', 15)}) SELECT * FROM r")
 def hybrid_retrieve(spark, d):
-    return R.fuse([(R.top(_bm25_docs(spark, d), 30), 1.0), (R.top(_dense(spark, d), 30), 0.5)], 15)
+    return R.fuse([(R.top(_bm25_docs(spark, d), 30), 1.0), (R.top(_dense(spark, d, 30), 30), 0.5)], 15)
 
 
-BM25_LABELS = _bm25_sql("SELECT vec_id AS doc_id, 'k' || label AS text FROM embeddings", "SELECT vec_id AS query_id, 'k' || label AS text FROM embeddings WHERE vec_id < 10", 1.5)
+BM25_LABELS = _bm25_sql("SELECT vec_id AS doc_id, 'k' || label AS text FROM embeddings", "SELECT vec_id AS query_id, 'k' || label AS text FROM embeddings", 1.5)
 
 
-@query(f"""WITH {BM25_LABELS}, {DENSE},
+@query(f"""WITH {BM25_LABELS}, {DENSE.replace("q.vec_id % 20 = 0 AND ", "")},
     lx AS ({_top_sql('s', 5)}), dn AS ({_top_sql('v', 5)}), b AS (SELECT max(score) AS best FROM lx),
     x AS (SELECT least(query_id, doc_id) AS a, greatest(query_id, doc_id) AS b, max(score / best) AS l FROM lx, b GROUP BY ALL), y AS (SELECT least(query_id, doc_id) AS a, greatest(query_id, doc_id) AS b, max(score) AS l FROM dn GROUP BY ALL)
     SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, round(greatest(coalesce(x.l, 0.0), coalesce(y.l, 0.0)), 6) AS score FROM x FULL JOIN y ON x.a = y.a AND x.b = y.b WHERE round(greatest(coalesce(x.l, 0.0), coalesce(y.l, 0.0)), 6) >= 0.3""")
 def hybrid_candidates(spark, d):
     docs = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("k"), "label").alias("text"))
-    lexical = R.top(R.bm25(docs, docs.where("doc_id < 10").withColumnRenamed("doc_id", "query_id"), 1.5, 0.75), 5)
-    return R.both_arms(lexical, R.top(_dense(spark, d), 5), 0.3)
+    lexical = R.top(R.bm25(docs, docs.withColumnRenamed("doc_id", "query_id"), 1.5, 0.75), 5)
+    return R.both_arms(lexical, R.top(_dense(spark, d, 5, "true"), 5), 0.3)
 
 
 @query()
 def near_dup_vectors(spark, d):
     """Of each query's 20 nearest, those not nearer than 0.8 to a better one; a test holds it against a plain loop."""
-    best = R.top(_dense(spark, d), 20).join(S.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    best = R.top(_dense(spark, d, 20), 20).join(S.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     return R.without_near(best, 0.8)
 
 
@@ -432,11 +440,11 @@ def sentence_count(spark, d):
     return S.read(spark, d, "documents").select("doc_id", P.sentences(t).alias("sentences"), P.token_estimate(t).cast("long").alias("tokens"))
 
 
-@query(f"""WITH {LINES} SELECT doc_id, CASE WHEN regexp_matches(t, '^#{{1,3}} ') OR regexp_matches(t, '(?i)^(chapter|chapitre) [0-9]+') THEN 'header' WHEN regexp_matches(t, '^([*~_=-]\\s*){{3,}}$') THEN 'scene_break'
-    WHEN regexp_matches(t, '^\\[.*\\]$') OR regexp_matches(t, '^\\|.*\\|$') THEN 'blue_box' WHEN regexp_matches(t, '^["«“—–]') THEN 'dialogue' ELSE 'narration' END AS kind, count(*) AS n
-    FROM (SELECT doc_id, trim(text, ' ') AS t FROM p) GROUP BY ALL""")
+@query(f"""WITH {LINES} SELECT doc_id, CASE WHEN regexp_matches(t, '{SCENE_MARK}') THEN 'scene_break' WHEN regexp_matches(t, '{BOX_MARK}') THEN 'blue_box' WHEN regexp_matches(t, '^[{SPEECH}]') OR (starts_with(t, '"') AND NOT starts_with(t, '""')) THEN 'dialogue' ELSE 'narration' END AS kind, count(*) AS n
+    FROM (SELECT doc_id, regexp_replace(CASE position % 9 WHEN 0 THEN '[Level up] ' || text WHEN 1 THEN '[odd] ' || text WHEN 2 THEN ' ** ' WHEN 3 THEN '--' WHEN 4 THEN '"' || text WHEN 5 THEN '""' || text WHEN 6 THEN '«' || text ELSE text END, '^\\s+|\\s+$', '', 'g') AS t FROM p) GROUP BY ALL""")
 def paragraph_kinds(spark, d):
-    return S.lines(spark, d).groupBy("doc_id", P.paragraph_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    shown = "CASE position % 9 WHEN 0 THEN '[Level up] ' || text WHEN 1 THEN '[odd] ' || text WHEN 2 THEN ' ** ' WHEN 3 THEN '--' WHEN 4 THEN '\"' || text WHEN 5 THEN '\"\"' || text WHEN 6 THEN '«' || text ELSE text END"
+    return S.lines(spark, d).groupBy("doc_id", P.paragraph_kind(F.expr(shown)).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {LINES}, c AS (SELECT doc_id, position, list_distinct(regexp_extract_all(text, '([A-Z][a-z]{{2,}})', 1)) AS names FROM p),
@@ -481,7 +489,9 @@ def mention_summary(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    return P.chunks(S.lines(spark, d), 200, 20, 40)
+    """Every document in chunks, its lines as paragraphs."""
+    docs = S.read(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return read_each(docs, "text", chunks, "position int, chunk string, start int, stop int, tokens int, scene_break boolean", ["doc_id"])
 
 
 @query()
@@ -562,6 +572,4 @@ def stream_ledger(spark, d):
 
     target = f"{shared_folder(spark)}/skein-ledger-{uuid.uuid4().hex}"
     ST.ledger_last_wins(ST.events(spark, d), target)
-    files = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(target))
-    last = max(int(f.getPath().getName()) for f in files if f.getPath().getName().isdigit())
-    return spark.read.parquet(f"{target}/{last}")
+    return ST.ledger(spark, target).select("user_id", "event_type", "event_id", "value")

@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Leading articles that names lose, one after another in this order.
-ARTICLES = ["the ", "a ", "an ", "le ", "la ", "les ", "l'", "un ", "une ", "des ", "du ", "de la ", "de l'", "de ", "d'"]
+ARTICLES = ["the ", "a ", "an ", "les ", "des ", "le ", "la ", "l'", "l'", "un ", "une ", "du ", "de ", "d'", "d'"]
 
 
 def normal_name(name: Column) -> Column:
     """Trimmed lower-case name without leading articles; each article is taken off once, in the listed order."""
-    return reduce(lambda c, a: F.regexp_replace(c, f"^{a}", ""), ARTICLES, F.trim(F.lower(name)))
+    return reduce(lambda c, a: F.regexp_replace(c, f"^{a}", ""), ARTICLES, F.lower(F.trim(name)))
+
+
+def with_normal_name(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with the normal form of a name, composed (NFC) first; only names beyond ASCII pass through Python for that."""
+    plain = F.coalesce(F.col(name).rlike(r"^[\x00-\x7f]*$"), F.lit(True))
+
+    def run(batches):
+        import unicodedata
+
+        import pyarrow as pa
+
+        for b in batches:
+            at = b.schema.get_field_index(name)
+            whole = pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in b.column(at).to_pylist()], b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*b.columns, whole], schema=b.schema.append(pa.field("_nfc", whole.type)))
+
+    composed = df.where(~plain).mapInArrow(run, StructType([*df.schema.fields, StructField("_nfc", StringType())]))
+    return df.where(plain).withColumn("_nfc", F.col(name)).unionByName(composed).withColumn(out, normal_name(F.col("_nfc"))).drop("_nfc")
 
 
 def tokens(text: Column) -> Column:

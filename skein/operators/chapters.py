@@ -105,7 +105,7 @@ def markdown_chapters(text: str) -> list[tuple[int, str, str, int]]:
     """(number, title, text, offset) by headings of one to three marks that look like a chapter's or are of the first level."""
     heads = [m for m in re.finditer(r"^(#{1,3})\s+(.*?)$", text, re.M) if m[1] == "#" or any(h.match(m[2].strip()) for h in HEADINGS)]
     out: list[tuple[int, str, str, int]] = []
-    for m, after in zip(heads, [*(n.start() for n in heads[1:]), len(text)], strict=True):
+    for m, after in zip(heads, [*(n.start() for n in heads[1:]), len(text)], strict=False):
         line_end = text.find("\n", m.start(), after)
         body = text[line_end:after].strip() if line_end >= 0 else ""
         if len(body) >= 100:

@@ -40,23 +40,25 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 
 
 def ego(edges: DataFrame, node: str, depth: int) -> DataFrame:
-    """(id, hops) within so many undirected steps: a frontier join a step, rows kept at their first hop."""
+    """(id, hops) within so many undirected steps: the frontier meets the edges from either end, rows stay at their first hop."""
     spark = edges.sparkSession
-    links = both_ways(edges).select("a", "b").distinct()
+    ends = edges.select("src", "dst")
     seen = spark.createDataFrame([(node, 0)], "id string, hops int")
     frontier = seen
     for k in range(1, depth + 1):
-        step = frontier.join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
+        there = ends.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+        back = ends.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"))
+        step = there.unionByName(back).distinct().join(seen, "id", "left_anti")
         frontier = scratch(spark, step.withColumn("hops", F.lit(k)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
 def two_hops(edges: DataFrame, node: str) -> DataFrame:
-    """Distinct second neighbours other than the start, with the number of ways there."""
-    links = both_ways(edges).select("a", "b").distinct()
-    one = links.where(F.col("a") == node).select(F.col("b").alias("via"))
-    return one.join(links, F.col("via") == F.col("a")).where(F.col("b") != node).groupBy(F.col("b").alias("id")).agg(F.count("*").alias("ways"))
+    """Distinct second neighbours other than the start, with the number of ways there; the filter reaches both scans."""
+    links = both_ways(edges).select("a", "b")
+    one = links.where(F.col("a") == node).select(F.col("b").alias("via")).distinct()
+    return one.join(links, F.col("via") == F.col("a")).where(F.col("b") != node).select("via", "b").distinct().groupBy(F.col("b").alias("id")).agg(F.count("*").alias("ways"))
 
 
 def subgraph(edges: DataFrame, kept: DataFrame, chapter: int) -> DataFrame:
@@ -81,7 +83,7 @@ def shared_names(nodes: DataFrame, priority: list[str]) -> DataFrame:
 def violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges whose end labels break their relation's rule; rules: rel, src_label, dst_label (a small dimension table)."""
     kinds = edges.select("src", "rel", "dst", label_of(F.col("src")).alias("s"), label_of(F.col("dst")).alias("d"))
-    known = kinds.join(F.broadcast(rules), "rel")
+    known = kinds.join(rules, "rel")
     bad = known.where("s <> src_label").select("rel", "src", "dst", F.lit("domain").alias("broken"))
     return bad.unionByName(known.where("d <> dst_label").select("rel", "src", "dst", F.lit("range").alias("broken")))
 
@@ -106,12 +108,14 @@ def reify(edges: DataFrame, rel: str) -> DataFrame:
     return edges.where(F.col("rel") != rel).select("src", "rel", "dst").unionByName(made)
 
 
-def co_members(edges: DataFrame, rel: str, most: int) -> DataFrame:
-    """Pairs of sources that share a target, with the number of shared targets; targets of more than `most` are left out."""
+def co_members(edges: DataFrame, rel: str, asked: Column) -> DataFrame:
+    """(a, b, shared): for each source that is asked for, the others that share targets with it, and how many.
+
+    A target's members meet only the ones that are asked; a hot target is dealt anew by the adaptive skew join.
+    """
     e = edges.where(F.col("rel") == rel).select("src", "dst").distinct()
-    fit = e.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("dst")
-    e = e.join(fit, "dst", "left_semi")
-    return e.alias("x").join(e.alias("y"), "dst").where("x.src < y.src").groupBy(F.col("x.src").alias("a"), F.col("y.src").alias("b")).agg(F.count("*").alias("shared"))
+    asking = e.where(asked).select(F.col("src").alias("a"), "dst")
+    return asking.join(e, "dst").where("a <> src").groupBy("a", F.col("src").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def spread_labels(pairs: DataFrame, rounds: int) -> DataFrame:

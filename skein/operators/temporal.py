@@ -48,9 +48,14 @@ def gained_lost(ledger: DataFrame, a: int, b: int, gain: str, lose: str) -> Data
 
 
 def intervals(ledger: DataFrame) -> DataFrame:
-    """SCD-2: each distinct (character, category, chapter) holds until the chapter before the next one."""
+    """SCD-2: the value (name) of each (character, category) holds until the chapter before the next one with another value.
+
+    Of several changes in a chapter the last by ord is its value.
+    """
     w = W.partitionBy("character", "category").orderBy("chapter")
-    return ledger.select("character", "category", "chapter").distinct().select("character", "category", F.col("chapter").alias("valid_from"), (F.lead("chapter").over(w) - 1).alias("valid_to"))
+    last = ledger.groupBy("character", "category", "chapter").agg(F.max_by("name", "ord").alias("name"))
+    turns = last.withColumn("before", F.lag("name").over(w)).withColumn("nth", F.row_number().over(w)).where((F.col("nth") == 1) | ~F.col("name").eqNullSafe(F.col("before")))
+    return turns.select("character", "category", "name", F.col("chapter").alias("valid_from"), (F.lead("chapter").over(w) - 1).alias("valid_to"))
 
 
 def holding(spans: DataFrame, chapter: int, half_open: bool = False) -> DataFrame:

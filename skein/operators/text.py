@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.operators.chapters import BOX_MARK, SCENE_MARK, SPEECH
+
 
 def sentences(text: Column) -> Column:
     """Number of non-blank parts between sentence ends."""
@@ -19,16 +21,12 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
 
-def paragraph_kind(text: Column) -> Column:
-    """header, scene_break, blue_box, dialogue or narration, in this precedence."""
-    t = F.trim(text)
-    return (
-        F.when(t.rlike(r"^#{1,3} ") | t.rlike(r"(?i)^(chapter|chapitre) [0-9]+"), "header")
-        .when(t.rlike(r"^([*~_=-]\s*){3,}$"), "scene_break")
-        .when(t.rlike(r"^\[.*\]$") | t.rlike(r"^\|.*\|$"), "blue_box")
-        .when(t.rlike("^[\"«“—–]"), "dialogue")
-        .otherwise("narration")
-    )
+def paragraph_kind(text: Column, heading: Column | None = None) -> Column:
+    """header (where a heading's element says so), scene_break, blue_box, dialogue or narration, in this precedence."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    speech = t.rlike(f"^[{SPEECH}]") | (t.startswith('"') & ~t.startswith('""'))
+    kind = F.when(t.rlike(SCENE_MARK), "scene_break").when(t.rlike(BOX_MARK), "blue_box").when(speech, "dialogue").otherwise("narration")
+    return kind if heading is None else F.when(heading, "header").otherwise(kind)
 
 
 def chapter_number(raw: Column) -> Column:
@@ -68,7 +66,7 @@ def name_is_bad(name: Column, pronouns: list[str]) -> Column:
 def mentions(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, position, term, hits): words of a small dictionary in paragraphs, by an equi-join on single words."""
     words = paragraphs.select("doc_id", "position", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term"))
-    return words.join(F.broadcast(terms), "term").groupBy("doc_id", "position", "term").agg(F.count("*").alias("hits"))
+    return words.join(terms, "term").groupBy("doc_id", "position", "term").agg(F.count("*").alias("hits"))
 
 
 def spans(paragraphs: DataFrame, terms: list[str]) -> DataFrame:
@@ -86,42 +84,6 @@ def spans(paragraphs: DataFrame, terms: list[str]) -> DataFrame:
     return paragraphs.select("doc_id", "position", "text").mapInPandas(run, "doc_id long, position int, term string, start long, end long")
 
 
-def chunks(paragraphs: DataFrame, size: int, overlap: int, least: int) -> DataFrame:
-    """(doc_id, position, text, tokens): paragraphs gathered up to `size` tokens, beginning with up to `overlap` tokens of
-    whole paragraphs of the chunk before; a tail of fewer than `least` tokens joins the chunk before, or is dropped if
-    there is none. The fold needs a document's order, so it runs on one row a document."""
-
-    def fold(texts: list[str]) -> list[tuple[str, int]]:
-        out: list[tuple[list[str], int]] = []
-        held: list[str] = []
-        fresh = 0
-        cost = lambda t: len(t) // 4
-        for t in texts:
-            if held and fresh and sum(map(cost, held)) + cost(t) > size:
-                out.append((held, len(held) - fresh))
-                tail: list[str] = []
-                for p in reversed(held):
-                    if sum(map(cost, tail)) + cost(p) > overlap:
-                        break
-                    tail.insert(0, p)
-                held, fresh = tail, 0
-            held, fresh = [*held, t], fresh + 1
-        if fresh:
-            if sum(map(cost, held)) >= least:
-                out.append((held, len(held) - fresh))
-            elif out:
-                out[-1] = (out[-1][0] + held[len(held) - fresh :], out[-1][1])
-        return [("\n".join(ps), sum(map(cost, ps))) for ps, _ in out]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, k, t, n) for d, ts in zip(f["doc_id"], f["all"], strict=True) for k, (t, n) in enumerate(fold(list(ts)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "position", "text", "tokens"])
-
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x.text)
-    return paragraphs.where(F.trim("text") != "").groupBy("doc_id").agg(ordered.alias("all")).mapInPandas(run, "doc_id long, position int, text string, tokens long")
-
-
 def grounded(claims: DataFrame) -> DataFrame:
     """claims: claim, start, text. Alignment and confidence of a quoted passage against its text."""
     at = F.substring("text", F.col("start") + 1, F.length("claim")) == F.col("claim")

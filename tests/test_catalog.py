@@ -68,17 +68,6 @@ def test_near_vectors_by_loop(spark):
     assert sorted(r.doc_id for r in without_near(df, 0.9).collect()) == [d for d, _ in kept]
 
 
-def test_chunks_keep_paragraphs(spark):
-    from skein.operators.text import chunks
-
-    rows = [(1, k, f"paragraph {k} " + "x" * 36) for k in range(20)] + [(2, 0, "short"), (3, 0, "")]
-    got = chunks(spark.createDataFrame(rows, "doc_id long, position int, text string"), 50, 15, 20).orderBy("doc_id", "position").collect()
-    assert {r.doc_id for r in got} == {1}  # a short lone tail is dropped
-    assert [r.position for r in got] == list(range(len(got)))
-    seen = [p for r in got for p in r.text.split("\n")]
-    assert {p for _, _, p in rows[:20]} == set(seen)
-
-
 def test_spans_are_exact_and_apart(spark):
     from skein.operators.text import spans
 
@@ -101,3 +90,55 @@ def test_interval_modes_differ_at_their_end(spark):
     assert holding(spans, 5).count() == 2
     assert holding(spans, 5, half_open=True).count() == 1
     assert spans.where(F.col("valid_to").isNull()).count() == 1
+
+
+def test_fuzzy_pairs_equal_all_pairs(spark):
+    import random
+
+    from skein.functions import with_normal_name
+    from skein.operators import resolve as N
+
+    r = random.Random(11)
+    words = ["ashen", "blade", "of", "the", "north", "king", "o'neil", "a", "jo", "smith", "smyth", "éclair", "ii", "x", "grey", "gray-wolf"]
+    names = {" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(160)} | {"b", "ab", "zab", "jon smith", "smith jon", "Jon  Smith", "abc", "xabcx", "123 4", "1234"}
+    for n in list(names)[:60]:
+        k = r.randrange(len(n))
+        names.add(n[:k] + r.choice("aeiou") + n[k + 1 :])
+    got = {(x.a, x.b): x.score for x in N.fuzzy_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    form = {x.normal for x in with_normal_name(spark.createDataFrame([(n,) for n in names], "name string"), "name", "normal").collect()} - {""}
+    expected = {(a, b): s for a in form for b in form if a < b and (s := N.likeness(a, b)) >= 85}
+    assert got == expected and len(expected) > 100
+
+
+def test_the_four_ratios():
+    from skein.operators import resolve as N
+
+    assert N.ratio("abcd", "abed") == 75 and N.part_ratio("smith", "jon smith") == 100 and N.sorted_ratio("jon smith", "Smith, Jon") == 100
+    assert N.set_ratio("jon smith", "jon adam smith") == 100 and N.set_ratio("jon", "adam") < 50 and N.likeness("", "a") == 0
+
+
+def test_dense_search_equals_all_cosines(spark, monkeypatch):
+    import numpy as np
+
+    from skein.operators import retrieval as R
+
+    monkeypatch.setattr(R, "ITEM_SHARD", 60)
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet").limit(300)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in v.collect()]
+    odd = spark.createDataFrame([(90001, [0.0] * 64), (90002, None)], "vec_id long, embedding array<float>")
+    items = v.select("vec_id", "embedding").unionByName(odd).select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = items.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id").withColumnRenamed("embedding", "vector")
+    got = {}
+    for r in R.top(R.dense(items, asked, 7), 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    for q, x in rows:
+        if q % 20 == 0:
+            every = sorted((-round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 6), i) for i, y in rows if i != q)[:7]
+            assert [(d, s) for _, d, s in sorted(got[q])] == [(i, -s) for s, i in every]
+
+
+def test_names_beyond_ascii_are_composed(spark):
+    from skein.functions import with_normal_name
+
+    df = spark.createDataFrame([("Les Étoiles", 1), ("la DE the Tour", 2), (None, 3), ("L'an d'or", 4)], "name string, normal_of int")
+    assert {r.normal_of: r.normal for r in with_normal_name(df, "name", "normal").collect()} == {1: "étoiles", 2: "the tour", 3: None, 4: "an d'or"}
