@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.storage import scratch, shared_folder
 
-__all__ = ["BATCH_ROWS", "crc_is", "id_place", "keyed_text", "labelled_sample", "logistic", "marked", "scratch", "shared_folder", "short_batches", "sigmoid", "table"]
+__all__ = ["BATCH_ROWS", "crc_is", "id_place", "keyed_text", "labelled_sample", "logistic", "marked", "one_blas_thread", "scratch", "shared_folder", "short_batches", "sigmoid", "table"]
 
 #: Rows per Arrow batch handed to Python; keeps a worker's memory a few MB above its longest text.
 BATCH_ROWS = 512
@@ -98,3 +98,18 @@ def sigmoid(x):
     import numpy as np
 
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def one_blas_thread() -> None:
+    """Products of matrices in this worker use its own core only; its neighbours' tasks have the others. Without the known
+    library nothing changes but speed."""
+    import ctypes
+    from pathlib import Path
+
+    import numpy as np
+
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)

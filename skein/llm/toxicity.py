@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc_is, keyed_text, labelled_sample, logistic, short_batches, sigmoid, table
+from skein.llm.common import crc_is, keyed_text, labelled_sample, logistic, one_blas_thread, short_batches, sigmoid, table
 
-BLOCK, K = 512, 15
+BLOCK, K = 1024, 15
 #: Factor of a term that says nothing of the label; its correlation with the label is added.
 PLAIN = 0.05
 #: Similarity that is added to the denominator of a vote, so that faint neighbours weigh little.
@@ -225,6 +225,7 @@ def scored(docs: DataFrame, model: ToxicityModel, at_least: float = 0.5) -> Data
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        one_blas_thread()
         for b in batches:
             s, why = shared.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= at_least).astype("int32")), pa.array(why, pa.string())], ["doc_id", "score", "predicted", "evidence"])
@@ -245,6 +246,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, at_least: f
     place = docs.columns.index("text")
 
     def run(batches):
+        one_blas_thread()
         for b in batches:
             s, _ = shared.value.score([t or "" for t in b.column(place).to_pylist()])
             yield b.filter(pa.array(s < at_least))
