@@ -37,10 +37,10 @@ FAINT = 0.2
 PER_CLASS, LONGEST = 3000, 50_000
 #: Blocks that are opened before the rest is judged by its bounds.
 FIRST_BLOCKS = 2
-#: Terms with rows of weights; texts that are searched at once.
-ROWS, AT_ONCE = 1000, 64
+#: Terms with rows of weights; texts, and terms of theirs, that are searched at once.
+ROWS, AT_ONCE, TERMS_AT_ONCE = 1000, 64, 10_000
 #: Words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 WORD = re.compile(r"\w+")
 #: Words of more than STEM letters also count as their first STEM letters, which joins inflected and compound forms.
 STEM = 5
@@ -197,7 +197,15 @@ class ToxicityModel:
         return t, w / np.sqrt((w * w).sum())
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        return [near for at in range(0, len(vectors), AT_ONCE) for near in self.index.search(vectors[at : at + AT_ONCE], k)]
+        """The k nearest of each, searched in groups of bounded terms, so memory does not follow long texts but for a single one."""
+        out, group, held = [], [], 0
+        for v in vectors:
+            if group and (held + len(v[0]) > TERMS_AT_ONCE or len(group) == AT_ONCE):
+                out += self.index.search(group, k)
+                group, held = [], 0
+            group.append(v)
+            held += len(v[0])
+        return out + (self.index.search(group, k) if group else [])
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Similarity-weighted share of toxic neighbours; FAINT damps the vote of distant ones."""
