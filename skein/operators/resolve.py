@@ -92,38 +92,41 @@ def _grams(form: Column) -> Column:
     return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string")))
 
 
-def fuzzy_pairs(names: DataFrame, least: int = 85) -> DataFrame:
-    """(a, b, score) of distinct normal names, a < b, whose best of four ratios is at least `least`.
+def fuzzy_pairs(names: DataFrame, least: int = 85, group: str | None = None) -> DataFrame:
+    """(a, b, score) of distinct normal names, a < b, whose best of four ratios is at least `least`; with a group column,
+    (group, a, b, score) of names of one group.
 
     Candidates share a pair of characters among so many of the shorter name's rarest ones that none can be missed
     (`shared_grams`); names of one character meet the names that hold it. Candidates are then scored in full.
     """
-    n = with_normal_name(names.select("name"), "name", "normal").select(F.col("normal").alias("name")).where("name <> ''").distinct()
+    own = F.lit("") if group is None else F.col(group).cast("string")
+    n = with_normal_name(names.select(own.alias("_g"), "name"), "name", "normal").select("_g", F.col("normal").alias("name")).where("name <> ''").distinct()
     forms = F.array_distinct(F.array(F.col("name"), F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")), F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), r"[^\x00-\x7f]", ""), "[^a-z0-9]+", " "))))
-    form = n.select("name", F.explode(forms).alias("form")).where("form <> ''").withColumn("m", F.length("form"))
-    grams = form.select("name", "form", "m", F.explode(_grams(F.col("form"))).alias("gram"))
-    df = grams.groupBy("gram").agg(F.countDistinct("name").alias("df"))
-    ranked = grams.join(df, "gram").withColumn("place", F.row_number().over(W.partitionBy("name", "form").orderBy("df", "gram")))
+    form = n.select("_g", "name", F.explode(forms).alias("form")).where("form <> ''").withColumn("m", F.length("form"))
+    grams = form.select("_g", "name", "form", "m", F.explode(_grams(F.col("form"))).alias("gram"))
+    df = grams.groupBy("_g", "gram").agg(F.countDistinct("name").alias("df"))
+    ranked = grams.join(df, ["_g", "gram"]).withColumn("place", F.row_number().over(W.partitionBy("_g", "name", "form").orderBy("df", "gram")))
     shares = F.greatest(F.lit(1), F.ceil(F.col("m") * shared_grams(least) - 1 - 1e-9)).cast("int")
-    asking = ranked.where(F.col("place") <= F.col("m") + 1 - shares + 1).select(F.col("name").alias("x"), F.col("m").alias("mx"), "gram")
-    met = asking.join(ranked.select(F.col("name").alias("y"), F.col("m").alias("my"), "gram"), "gram").where("x <> y AND mx <= my")
-    one = n.where(F.length("name") == 1).select(F.col("name").alias("x"), F.col("name").alias("gram")).join(n.select(F.col("name").alias("y"), F.explode(F.array_distinct(F.split("name", ""))).alias("gram")), "gram").where("x <> y")
-    pairs = met.select("x", "y").unionByName(one.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    asking = ranked.where(F.col("place") <= F.col("m") + 1 - shares + 1).select("_g", F.col("name").alias("x"), F.col("m").alias("mx"), "gram")
+    met = asking.join(ranked.select("_g", F.col("name").alias("y"), F.col("m").alias("my"), "gram"), ["_g", "gram"]).where("x <> y AND mx <= my")
+    one = n.where(F.length("name") == 1).select("_g", F.col("name").alias("x"), F.col("name").alias("gram")).join(n.select("_g", F.col("name").alias("y"), F.explode(F.array_distinct(F.split("name", ""))).alias("gram")), ["_g", "gram"]).where("x <> y")
+    pairs = met.select("_g", "x", "y").unionByName(one.select("_g", "x", "y")).select("_g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            left, right = b.column(0).to_pylist(), b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([likeness(x, y) for x, y in zip(left, right, strict=True)], pa.int32())], ["a", "b", "score"])
+            left, right = b.column(1).to_pylist(), b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([likeness(x, y) for x, y in zip(left, right, strict=True)], pa.int32())], ["_g", "a", "b", "score"])
 
-    return pairs.mapInArrow(run, "a string, b string, score int").where(F.col("score") >= least)
+    out = pairs.mapInArrow(run, "_g string, a string, b string, score int").where(F.col("score") >= least)
+    return out.drop("_g") if group is None else out.withColumnRenamed("_g", group)
 
 
 def tiers(pairs: DataFrame, definite: int = 95) -> tuple[DataFrame, DataFrame]:
     """Merges (alias, canonical): definite pairs, the longer name counts, of equal lengths the first; and candidates for review."""
     first = F.length("a") >= F.length("b")
-    sure = pairs.where(F.col("score") >= definite).select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"))
+    sure = pairs.where(F.col("score") >= definite).select(*(c for c in pairs.columns if c not in ("a", "b", "score")), F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"))
     return sure, pairs.where(F.col("score") < definite)
 
 
