@@ -508,10 +508,10 @@ def ground_claims(spark, d):
     return P.grounded(c).select("doc_id", "start", "alignment", "confidence", "found")
 
 
-@query("""SELECT conv_id, turn, role, length(text) AS size, turn % 5 = 0 AS summarise FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4""")
+@query("""SELECT conv_id, turn, role, CAST(length(text) AS INT) AS size, turn % 5 = 0 AS summarise FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20""")
 def conversation_window(spark, d):
     c = S.read(spark, d, "conversations")
-    return G.top_of_each(c, ["conv_id"], [F.desc("turn")], 4).select("conv_id", "turn", "role", F.length("text").alias("size"), (F.col("turn") % 5 == 0).alias("summarise"))
+    return G.top_of_each(c, ["conv_id"], [F.desc("turn")], 20).select("conv_id", "turn", "role", F.length("text").alias("size"), (F.col("turn") % 5 == 0).alias("summarise"))
 
 
 # --- exports and costs ------------------------------------------------------------------------------------------------

@@ -322,7 +322,7 @@ def role_significance(spark, d):
     return S.read(spark, d, "customer").groupBy("c_mktsegment", R.role_significance(role).alias("significance")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {STORY} SELECT DISTINCT src AS name, 2 AS books FROM e WHERE false UNION ALL SELECT owner, count(DISTINCT book) FROM x GROUP BY 1 HAVING count(DISTINCT book) > 1")
+@query(f"WITH {STORY} SELECT owner AS name, CAST(count(DISTINCT book) AS INT) AS books FROM x GROUP BY 1 HAVING count(DISTINCT book) > 1")
 def series_entities(spark, d):
     return U.shared_characters(extraction(spark, d).select(F.col("owner").alias("name"), "book")).select("name", F.col("books").cast("int").alias("books")).distinct()
 

@@ -116,7 +116,7 @@ def upsert_level_ledger(spark, d):
 
 
 @query(f"""WITH {X}, m AS (SELECT book, chapter, kind AS entity_type, name AS entity, k AS start, k + length(name) AS stop, repeat(name, 40) AS text FROM x)
-    SELECT book, chapter, count(*) AS mention_count, sum(length(left(text, 200))) AS characters, md5(string_agg(start || ':' || stop || ':' || entity_type || ':' || entity, ',' ORDER BY start, stop, entity_type, entity)) AS digest FROM m GROUP BY ALL""")
+    SELECT book, chapter, count(*) AS mention_count, CAST(sum(length(left(text, 200))) AS BIGINT) AS characters, md5(string_agg(start || ':' || stop || ':' || entity_type || ':' || entity, ',' ORDER BY start, stop, entity_type, entity)) AS digest FROM m GROUP BY ALL""")
 def upsert_mentions(spark, d):
     rows = extraction(spark, d).select("book", "chapter", F.col("kind").alias("entity_type"), F.col("name").alias("entity"), F.col("k").alias("start"), (F.col("k") + F.length("name")).alias("end"), F.repeat("name", F.lit(40)).alias("text"))
     edges, summary = U.mentions_store(rows)

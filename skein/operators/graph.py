@@ -129,6 +129,48 @@ def spread_labels(pairs: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
+def communities(pairs: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
+    """(id, community): local moves that raise the modularity of undirected edges (a, b) at a resolution.
+
+    In each round a half of the nodes, by hash, may move to the neighbouring community of the largest gain,
+    links to it less resolution * own degree * its degrees / all degrees, ties to the smallest name; a node that gains nothing
+    stays. The halves keep neighbours from changing places for ever. Parallel edges weigh as many as they are.
+    """
+    spark = pairs.sparkSession
+    one = pairs.where("a <> b").select("a", "b")
+    links = scratch(spark, one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("w")), "links")
+    degree = scratch(spark, links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degrees")
+    total = degree.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("t")).first()["t"]
+    labels = degree.select("id", "k", F.col("id").alias("community"))
+    still = 0
+    for turn in range(2 * rounds):
+        sums = labels.groupBy("community").agg(F.sum("k").alias("s"))
+        near = links.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+        mine = labels.where(F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2).select("id", "k", F.col("community").alias("old"))
+        stay = mine.select("id", F.col("old").alias("community")).join(near, ["id", "community"], "left_anti").withColumn("w", F.lit(0).cast("long"))
+        options = near.unionByName(stay.select("id", "community", "w")).join(mine, "id").join(sums, "community")
+        own = F.col("community") == F.col("old")
+        gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("s") - F.when(own, F.col("k")).otherwise(0)) / F.lit(float(max(total, 1)))
+        best = options.groupBy("id", "old").agg(F.min_by("community", F.struct(F.round(-gain, 9), ~own, "community")).alias("community"))
+        moved = scratch(spark, best.where("community <> old").select("id", F.col("community").alias("_to")), "moves")
+        if moved.isEmpty():
+            still += 1
+            if still == 2:
+                break
+            continue
+        still = 0
+        labels = scratch(spark, labels.join(moved, "id", "left").select("id", "k", F.coalesce("_to", "community").alias("community")), "labels")
+    return labels.select("id", "community")
+
+
+def named_communities(found: DataFrame, book: str, level: int, least: int = 3) -> DataFrame:
+    """(id, community): communities of enough members under ids `book:comm:Llevel:place`, the largest first."""
+    sizes = found.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
+    # one row a community is numbered, not one a member
+    place = sizes.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "first")) - 1).select("community", F.format_string(f"{book}:comm:L{level}:%d", "place").alias("name"))
+    return found.join(place, "community").select("id", F.col("name").alias("community"))
+
+
 def parents_by_vote(members: DataFrame) -> DataFrame:
     """members: child, parent, one row a member. Each child's parent is the one most members are in, ties to the smallest."""
     votes = members.groupBy("child", "parent").agg(F.count("*").alias("n"))

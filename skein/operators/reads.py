@@ -555,3 +555,9 @@ def clustered(names: DataFrame, edges: DataFrame, least: int = 5, rounds: int =
     for end in ("src", "dst"):
         edges = edges.join(a.withColumnRenamed("name", "_from"), F.lower(end) == F.col("_from"), "left").withColumn(end, F.coalesce("_to", end)).drop("_from", "_to")
     return alias, edges.where("src <> dst").distinct()
+
+
+def template_summary(rows: DataFrame, most: int) -> DataFrame:
+    """id, summary: the first `most` names and the number of members; rows: id, names array."""
+    shown = F.array_join(F.slice("names", 1, most), " and ")
+    return rows.select("id", F.concat(F.lit("Community of "), shown, F.lit(" ("), F.size("names"), F.lit(" members)")).alias("summary"))

@@ -144,6 +144,21 @@ def reviewed(pairs: DataFrame, merge: float = 0.7, escalate: float = 0.4, sure:
     return pairs.withColumn("fate", fate)
 
 
+def dedup(rows: DataFrame, least: int = 85, definite: int = 95) -> DataFrame:
+    """(entity_type, alias, canonical) in lower case of names (entity_type, name, ord), type by type: equal normal forms, then
+    definite fuzzy pairs, then reviewed candidates, closed transitively. Canonical names are never aliases."""
+    form = with_normal_name(rows.select("entity_type", "name", "ord"), "name", "normal")
+    first = form.groupBy("entity_type", "normal").agg(F.min_by("name", "ord").alias("canonical"))
+    sure, rest = tiers(fuzzy_pairs(rows.select("entity_type", "name"), least, "entity_type"), definite)
+    merged = reviewed(rest.withColumn("rank", F.col("score") / 100)).where("fate = 'merge' AND rank >= 0.9").select("entity_type", F.col("a").alias("alias"), F.col("b").alias("canonical"))
+    tag = lambda c: F.concat_ws("\u0001", "entity_type", c)
+    closed = closure(sure.unionByName(merged).select(tag("alias").alias("a"), tag("canonical").alias("b")))
+    roots = closed.select(F.element_at(F.split("name", "\u0001"), 1).alias("entity_type"), F.element_at(F.split("name", "\u0001"), 2).alias("normal"), F.element_at(F.split("canonical", "\u0001"), 2).alias("root"))
+    known = form.join(roots, ["entity_type", "normal"], "left").withColumn("root", F.coalesce("root", "normal")).join(first.select("entity_type", F.col("normal").alias("root"), "canonical"), ["entity_type", "root"])
+    out = known.select("entity_type", F.lower(F.trim("name")).alias("alias"), F.lower(F.trim("canonical")).alias("canonical")).where("alias <> canonical").distinct()
+    return out
+
+
 def per_chapter(new: DataFrame, existing: DataFrame, low: int = 90, high: int = 99) -> DataFrame:
     """(name, canonical): new names (name) with the best existing one (name) by shared words, from `low` to `high`.
 
