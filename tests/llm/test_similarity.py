@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from conftest import DATA
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skein.llm import decontaminate, near_dup, shingles
@@ -230,3 +231,30 @@ def test_pipeline_equals_its_parts(spark):
     got = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in got} == set(left) - leaks
     assert len(corpus_pipeline.STAGES) == 5 and all(r.n_tokens >= 0 for r in got)
+
+
+def test_every_stage_meets_odd_rows(spark, tmp_path):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    near = [f"w{k}" for k in range(60)]
+    rows = [
+        (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "Same text here", "en", "s", 1), (3, "same TEXT here", "en", "s", 1), (None, "same text here", None, None, None), (5, " ".join(near), "en", "s", 5),
+        (6, " ".join([*near[:-2], "x", "y"]), "en", "s", 5), (7, "before " + item + " after", "en", "s", 5), (None, "alone and null " * 6, None, None, None), (9, "long words " * 40_000, "de", "s", 3),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    clash = docs.withColumn("digest", F.lit("x")).withColumn("cluster", F.lit(1)).withColumn("score", F.lit(2)).withColumn("_kept", F.lit(3)).withColumn("words", F.lit("w")).withColumn("place", F.lit(4))
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    want = {
+        "exact dedup": ["2", "3", "5", "6", "7", "9", "None"], "near-duplicates": None, "decontamination": sorted(str(r[0]) for r in rows if r[0] != 7),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, clash):
+            out = stage(spark, df, DATA)
+            assert name == "pieces" or out.columns == df.columns
+            got = ids(out)
+            assert want.get(name) is None or got == want[name], name
+            if name == "near-duplicates":
+                assert "6" not in got and {"1", "2", "5", "7", "9"} <= set(got)
+            if name == "pieces":
+                assert len(got) == len(rows)
+        assert stage(spark, docs.where("false"), DATA).count() == 0

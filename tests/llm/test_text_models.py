@@ -234,3 +234,40 @@ def test_pages_of_the_table_equal_their_articles(spark):
         inside = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inside)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_pages_of_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + LONG, 1), (1, "u", "<p>" + LONG, 1), (None, None, None, 1), (2, "v", "", 1)], "page_id long, url string, html string, text int")
+    got = sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extracted(pages).collect())
+    assert got == [("1", SAID, len(SAID)), ("1", SAID, len(SAID)), ("2", "", 0), ("None", "", 0)]
+    assert html_text.extracted(pages.where("false")).count() == 0
+
+
+def test_equal_languages_go_to_the_first():
+    model = language.fit([("aba aba", "b"), ("aba aba", "a")])
+    assert language.predict("aba aba", model)[0] == "a" and language.predict("", model) == ("und", 0.0)
+
+
+def test_quality_equals_plain_sizes(spark):
+    """The scores of the table from sizes that a new compressor for each block gives, and the curve written out."""
+    import math
+
+    import zstandard as zstd
+
+    from skein.llm.common import crc_is, labelled_sample
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.fit(*labelled_sample(docs, spark.read.parquet(f"{DATA}/labels.parquet"), "quality", lambda key: crc_is(key, 4, 2), quality.PER_CLASS, quality.LONGEST))
+    got = {r.doc_id: r.score for r in quality.op1_quality(spark, DATA).collect()}
+
+    def size(block, dictionary):
+        return len(zstd.ZstdCompressor(level=quality.LEVEL, dict_data=zstd.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False, write_checksum=False).compress(block))
+
+    off = 0
+    for r in docs.collect()[:60]:
+        raw = (r.text or "").encode()
+        parts = [raw[i : i + quality.BLOCK] for i in range(0, len(raw), quality.BLOCK)]
+        more = sum(size(x, model["bad"]) - size(x, model["good"]) for x in parts)
+        x = (more + quality.PRIOR_BYTES * model["average"]) / (len(raw) + quality.PRIOR_BYTES)
+        off = max(off, abs(got[r.doc_id] - 1 / (1 + math.exp(-(x * model["slope"] + model["intercept"])))))
+    assert off < 0.02  # a dictionary that is digested beforehand may code a block by a few bytes otherwise
