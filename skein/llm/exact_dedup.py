@@ -3,7 +3,8 @@
 Texts are lower-cased in A-Z only. Spark samples splitters over (first bytes, digest, slot) and range-partitions by them;
 in each range an external sort places equal texts side by side, and neighbours are compared in full by a sort aggregate.
 A text that fills more than one range by itself (at most as many texts as ranges, found by counting digests) is dealt over
-slots, and its few slot heads are compared in full once more. Digests alone never make two texts equal.
+slots, and its few slot heads are compared in full once more. Which texts are equal is decided by these comparisons; the rows
+of the result then find their text's group by its SHA-256 digest.
 
 Defined results: null counts as the empty text; of equal texts the row with the largest doc_id stays; rows that repeat a
 doc_id with an equal text all carry its fate; a null doc_id stays only where its whole group has none; extra columns are
