@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that the stage bef
 and read again as the docs of the next one. All but the last return the columns of documents, so a stage can be left out,
 repeated or run alone. Near-duplicates are taken at a similarity of 0.8, the usual one for word shingles; the smallest
 doc_id of a group stays.
+
+Defined results, for every stage: null and empty texts count as empty, are not toxic by themselves, hold no benchmark item and
+are near copies of nothing, but equal to each other, so that exact dedup keeps one of them; a row with a null doc_id takes part
+by its text and goes where another row stays for it; repeated rows are told apart by their texts and share their fate; of
+equal texts the largest doc_id stays, of near copies the smallest; an empty table gives an empty one; extra columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
