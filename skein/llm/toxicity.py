@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,33 +39,13 @@ PER_CLASS, LONGEST = 3000, 50_000
 FIRST_BLOCKS = 2
 #: Terms with rows of weights; texts, and terms of theirs, that are searched at once.
 ROWS, AT_ONCE, TERMS_AT_ONCE = 1000, 64, 10_000
-#: Words that a worker remembers.
-REMEMBERED = 100_000
-WORD = re.compile(r"\w+")
-#: Words of more than STEM letters also count as their first STEM letters, which joins inflected and compound forms.
-STEM = 5
+#: Terms: words in lower case, cut to their first six letters, which joins inflected and compound forms.
+WORD = re.compile(r"(\w{1,6})\w*")
 
 
 def bag_of(text: str) -> dict[str, int]:
-    """Terms of a text and how often each occurs: words, and first letters of long ones (marked, so that no word is one)."""
-    bag: dict[str, int] = Counter(WORD.findall(text.lower()))
-    for w, n in list(bag.items()):
-        if len(w) > STEM:
-            bag[w[:STEM] + "*"] += n
-    return bag
-
-
-class Places(dict):
-    """The numbers of a word and of its beginning, or -1; begun anew when it is full."""
-
-    def __init__(self, term: dict[str, int]):
-        self.term = term
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = self.term.get(word, -1), self.term.get(word[:STEM] + "*", -1) if len(word) > STEM else -1
-        return out
+    """Terms of a text and how often each occurs."""
+    return Counter(WORD.findall(text.lower()))
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -170,7 +150,6 @@ class ToxicityModel:
         names = sorted(known)
         self.term = {w: i for i, w in enumerate(names)}
         self.factor = np.array([known[w][0] * (PLAIN + known[w][1]) for w in names])
-        self.places = Places(self.term)
         vectors = [self.vector(t) for t, _, _ in sample]
         # alike examples side by side make block bounds tight: by class, then by the heaviest terms
         heavy = [sorted(t[np.argsort(-w, kind="stable")[:3]].tolist()) for t, w in vectors]
@@ -182,18 +161,16 @@ class ToxicityModel:
         y = self.labels
         weight = np.where(y == 1, counts[1] / total / y.mean(), counts[0] / total / (1 - y.mean()))
         self.slope, self.intercept = logistic(votes, y, weight)
-        self.places.clear()  # workers begin their own
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights of those terms of a text that the sample holds; others are left out."""
-        words = Counter(WORD.findall(text.lower()))
-        t = np.fromiter(chain.from_iterable(map(self.places.__getitem__, words)), np.int64, 2 * len(words))
-        c = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 2)
-        t, c = t[t >= 0], c[t >= 0]
+        bag = bag_of(text)
+        t = np.fromiter(map(self.term.get, bag, repeat(-1)), np.int64, len(bag))
+        known = t >= 0
+        t, c = t[known], np.fromiter(bag.values(), np.int64, len(bag))[known]
         if not len(t):
             return t, np.zeros(0)
-        t, of = np.unique(t, return_inverse=True)
-        w = (1 + np.log(np.bincount(of, c))) * self.factor[t]
+        w = (1 + np.log(c)) * self.factor[t]
         return t, w / np.sqrt((w * w).sum())
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
