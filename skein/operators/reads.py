@@ -498,10 +498,10 @@ def priced(usage: DataFrame, prices: list[tuple[str, float]], default: float) ->
     return usage.withColumn("cost", F.round(F.col("tokens") * F.coalesce(exact[F.col("model")], price) / 1e6, 6))
 
 
-def sampled_evenly(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+def sampled_evenly(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """n rows of each group at even steps of its order."""
     w = W.partitionBy(group)
-    numbered = rows.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n)))
+    numbered = rows.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n)))
     return numbered.where((F.col("_at") % F.col("_step") == 0) & (F.col("_at") / F.col("_step") < n)).drop("_at", "_step")
 
 
