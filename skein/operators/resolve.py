@@ -198,7 +198,7 @@ def lookup(names: DataFrame, registry: DataFrame, least: int = 3) -> DataFrame:
     by_form = formed.select("k", F.col("canonical").alias("c"), F.lit(3).alias("way")).where(F.length("k") >= least)
     ways = by_name.unionByName(by_alias).unionByName(by_form).groupBy("k", "way").agg(F.min("c").alias("c"))
     asked = with_normal_name(names.select("name").distinct(), "name", "form_of")
-    keys = asked.select("name", F.explode(F.array(F.struct(F.lower(F.trim("name")).alias("k"), F.lit(False).alias("form")), F.struct(F.col("form_of").alias("k"), F.lit(True).alias("form")))).alias("x")).select("name", "x.*")
+    keys = asked.select("name", F.explode(F.array(F.struct(F.lower(F.trim("name")).alias("k"), F.lit(False).alias("form")), F.struct(F.col("form_of").alias("k"), F.lit(True).alias("form")))).alias("x")).select("name", "x.*").where(~F.col("form") | (F.length("k") >= least))
     hit = keys.join(ways, "k").where("way < 3 OR form").groupBy("name").agg(F.min_by("c", F.struct("way", "c")).alias("canonical"))
     return names.select("name").distinct().join(hit, "name", "left")
 
