@@ -1,13 +1,14 @@
 """Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is indexed by all its terms. A term's weight is its logarithmic frequency times its
+A bounded sample of labelled texts is indexed by all its terms, words cut to six letters. A term's weight is its logarithmic frequency times its
 inverse document frequency times a factor of the label, PLAIN plus the term's correlation with the label over the sample, so
 that two texts are alike first of all by words that tell the classes apart; no term is left out. The postings of a term
 are cut into blocks of BLOCK examples and keep the largest weight of each block, so a query adds up an upper bound for
 every block, opens the blocks of the highest bounds, and then all whose bound exceeds the K-th best similarity found: the
 K nearest are exact. The ROWS terms of most weight in all examples have rows of weights in place of postings; what they add up
 to is known for all examples at once, and its largest value is part of a block's bound. The nearest vote by their
-similarities, and a logistic curve fitted on votes of the sampled texts among the others turns the vote into a score. The nearest examples are returned as evidence.
+similarities, and a logistic curve fitted on votes of the sampled texts among the others turns the vote into a score. The
+nearest examples are returned as evidence.
 
 Defined results: null and empty texts, and texts without any term of the sample, have no neighbour and get the curve's value
 at a vote of 0; equal similarities are ranked by the example's place in the index; without labels of both classes the score
@@ -70,7 +71,7 @@ class BlockMaxIndex:
         self.rows = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
         rare = self.row[of] < 0
         self.rows[self.row[of[~rare]], docs[~rare]] = weights[~rare]
-        self.docs, of, self.weights = docs[rare], of[rare], weights[rare]
+        self.docs, of, self.weights = docs[rare].astype(np.int32), of[rare], weights[rare].astype(np.float32)
         block = self.docs // BLOCK
         first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (block[1:] != block[:-1])]) if len(of) else np.zeros(0, np.int64)
         #: an entry is a rare term in a block: its block, its first posting, their number, their largest weight
