@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import with_normal_name
 from skein.operators.components import connected_components
+from skein.plans.storage import scratch
 
 
 def exact(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -106,6 +107,7 @@ def fuzzy_pairs(names: DataFrame, least: int = 85, group: str | None = None) ->
     grams = form.select("_g", "name", "form", "m", F.explode(_grams(F.col("form"))).alias("gram"))
     df = grams.groupBy("_g", "gram").agg(F.countDistinct("name").alias("df"))
     ranked = grams.join(df, ["_g", "gram"]).withColumn("place", F.row_number().over(W.partitionBy("_g", "name", "form").orderBy("df", "gram")))
+    ranked = scratch(names.sparkSession, ranked, "grams")
     shares = F.greatest(F.lit(1), F.ceil(F.col("m") * shared_grams(least) - 1 - 1e-9)).cast("int")
     asking = ranked.where(F.col("place") <= F.col("m") + 1 - shares + 1).select("_g", F.col("name").alias("x"), F.col("m").alias("mx"), "gram")
     met = asking.join(ranked.select("_g", F.col("name").alias("y"), F.col("m").alias("my"), "gram"), ["_g", "gram"]).where("x <> y AND mx <= my")
