@@ -245,7 +245,7 @@ def test_every_stage_meets_odd_rows(spark, tmp_path):
     clash = docs.withColumn("digest", F.lit("x")).withColumn("cluster", F.lit(1)).withColumn("score", F.lit(2)).withColumn("_kept", F.lit(3)).withColumn("words", F.lit("w")).withColumn("place", F.lit(4))
     ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
     want = {
-        "exact dedup": ["2", "3", "5", "6", "7", "9", "None"], "near-duplicates": None, "decontamination": sorted(str(r[0]) for r in rows if r[0] != 7),
+        "exact dedup": ["2", "3", "3", "5", "6", "7", "9", "None"], "near-duplicates": None, "decontamination": sorted(str(r[0]) for r in rows if r[0] != 7),
     }
     for name, stage in corpus_pipeline.STAGES:
         for df in (docs, clash):
@@ -258,3 +258,26 @@ def test_every_stage_meets_odd_rows(spark, tmp_path):
             if name == "pieces":
                 assert len(got) == len(rows)
         assert stage(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_components_of_the_table_equal_all_pairs(spark):
+    docs = spark.read.parquet(f"{DATA[:-5]}0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets, holders = {d: set(bag(words(t))) for d, t in rows}, {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    for percent in (85, 80):
+        up = {d: d for d in sets}
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for d, s in sets.items():
+            for e, both in Counter(e for x in s for e in holders[x] if e < d).items():
+                if 100 * both >= percent * (len(s) + len(sets[e]) - both):
+                    up[max(find(d), find(e))] = min(find(d), find(e))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(docs, percent).collect()}
+        assert got == {d: (len(s), find(d)) for d, s in sets.items()}
