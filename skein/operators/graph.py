@@ -23,6 +23,13 @@ def triples(edges: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
+    """(a, rel, b, direction): each edge from either end, in one pass over the edges."""
+    ends = F.array(F.struct(F.col("src").alias("a"), F.col("rel").alias("rel"), F.col("dst").alias("b"), F.lit("out").alias("direction")), F.struct(F.col("dst").alias("a"), F.col("rel").alias("rel"), F.col("src").alias("b"), F.lit("in").alias("direction")))
+    return edges.select(F.explode(ends).alias("x")).select("x.*")
+
+
+def from_either(edges: DataFrame) -> DataFrame:
+    """The same as a union of two scans: for one node, whose filter reaches both of them."""
     out = edges.select(F.col("src").alias("a"), "rel", F.col("dst").alias("b"), F.lit("out").alias("direction"))
     return out.unionByName(edges.select(F.col("dst").alias("a"), "rel", F.col("src").alias("b"), F.lit("in").alias("direction")))
 
@@ -36,19 +43,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
     """The edges of one node, either way; the filter reaches both scans."""
-    return both_ways(edges).where(F.col("a") == node).select("rel", "direction", F.col("b").alias("id"))
+    return from_either(edges).where(F.col("a") == node).select("rel", "direction", F.col("b").alias("id"))
 
 
 def ego(edges: DataFrame, node: str, depth: int) -> DataFrame:
     """(id, hops) within so many undirected steps: the frontier meets the edges from either end, rows stay at their first hop."""
     spark = edges.sparkSession
-    ends = edges.select("src", "dst")
+    links = edges.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("x.a", "x.b")
     seen = spark.createDataFrame([(node, 0)], "id string, hops int")
     frontier = seen
     for k in range(1, depth + 1):
-        there = ends.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
-        back = ends.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"))
-        step = there.unionByName(back).distinct().join(seen, "id", "left_anti")
+        met = links.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"))
+        step = met.distinct().join(seen, "id", "left_anti")
         frontier = scratch(spark, step.withColumn("hops", F.lit(k)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
@@ -57,7 +63,7 @@ def ego(edges: DataFrame, node: str, depth: int) -> DataFrame:
 def two_hops(edges: DataFrame, node: str) -> DataFrame:
     """Distinct second neighbours other than the start, with the number of ways there; the filter reaches both scans."""
     links = both_ways(edges).select("a", "b")
-    one = links.where(F.col("a") == node).select(F.col("b").alias("via")).distinct()
+    one = from_either(edges).where(F.col("a") == node).select(F.col("b").alias("via")).distinct()
     return one.join(links, F.col("via") == F.col("a")).where(F.col("b") != node).select("via", "b").distinct().groupBy(F.col("b").alias("id")).agg(F.count("*").alias("ways"))
 
 

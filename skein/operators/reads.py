@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.operators.graph import both_ways, label_of
+from skein.operators.graph import both_ways, from_either, label_of
 
 #: Relations of the structure, which are no statements about the story.
 STRUCTURE = ["HAS_CHAPTER", "HAS_CHUNK", "HAS_PARAGRAPH", "MENTIONED_IN", "FIRST_MENTIONED_IN", "MEMBER_OF", "PARENT_COMMUNITY", "LOCATION_PART_OF"]
@@ -278,7 +278,7 @@ def profile(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 def wiki(nodes: DataFrame, edges: DataFrame, label: str, name: str, most: int = 100) -> DataFrame:
     """rel, direction, n, names of one page's connections, the first `most` by relation and name."""
     who = nodes.where((F.col("label") == label) & (F.lower("name") == name.lower())).orderBy("id").limit(1).select(F.col("id").alias("a"))
-    near = both_ways(edges).join(who, "a", "left_semi").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("other")), "b").select("rel", "direction", "other").orderBy("rel", "direction", "other").limit(most)
+    near = from_either(edges).join(who, "a", "left_semi").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("other")), "b").select("rel", "direction", "other").orderBy("rel", "direction", "other").limit(most)
     return near.groupBy("rel", "direction").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("other")), ",").alias("names"))
 
 
