@@ -169,3 +169,34 @@ def community_summaries(spark, d):
     """The template that stands in for a model: the first name and the number of members."""
     n = S.read(spark, d, "nation")
     return R.template_summary(n.select(F.col("n_nationkey").alias("id"), F.array("n_name", F.lit("others"), F.lit("more")).alias("names")), 2)
+
+
+@query("""WITH c AS (SELECT n_regionkey AS version, CASE n_nationkey % 5 WHEN 0 THEN 'add_entity_type' WHEN 1 THEN 'add_regex' WHEN 2 THEN 'add_property' WHEN 3 THEN 'add_relationship' ELSE 'rename' END AS kind, CASE n_nationkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'genre' ELSE 'series' END AS layer, n_name AS target FROM nation),
+    p AS (SELECT *, CASE kind WHEN 'add_entity_type' THEN CASE layer WHEN 'core' THEN '1' WHEN 'genre' THEN '2' ELSE '3' END WHEN 'add_regex' THEN '0' WHEN 'add_property' THEN '4' WHEN 'add_relationship' THEN '4' END AS phase FROM c)
+    SELECT version, coalesce(string_agg(DISTINCT phase, ',' ORDER BY phase), '') AS phases, coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (kind IN ('add_entity_type', 'add_property')), '') AS types, count(*) FILTER (kind = 'add_regex') AS new_patterns FROM p GROUP BY 1""")
+def impact_scope(spark, d):
+    n = S.read(spark, d, "nation")
+    pick = lambda m, *v: F.element_at(F.array(*map(F.lit, v)), F.col("n_nationkey") % m + 1)
+    changes = n.select(F.col("n_regionkey").alias("version"), pick(5, "add_entity_type", "add_regex", "add_property", "add_relationship", "rename").alias("change_type"), pick(3, "core", "genre", "series").alias("layer"), F.col("n_name").alias("target"))
+    return K.impact_scope(changes)
+
+
+@query("""SELECT c_custkey, CAST(c_custkey % 40 + 1 AS INT) AS number, c_name AS title, 0 AS place, CAST(length('Chapter ' || (c_custkey % 40 + 1) || ': ' || c_name || chr(10) || repeat('word ', 120)) - 1 AS INT) AS size FROM customer
+    UNION ALL SELECT c_custkey, 9999, '', 1, CAST(length('Chapter epilogue' || chr(10) || repeat('more ', 130)) - 1 AS INT) FROM customer""")
+def split_chapters(spark, d):
+    """Books of two headed chapters and a part that is too short to be one."""
+    c = S.read(spark, d, "customer")
+    one = F.concat(F.lit("Chapter "), F.col("c_custkey") % 40 + 1, F.lit(": "), "c_name", F.lit("\n"), F.repeat(F.lit("word "), F.lit(120)))
+    text = F.concat(one, F.lit("\nChapter epilogue\n"), F.repeat(F.lit("more "), F.lit(130)), F.lit("\n7. Note\nshort"))
+    read = lambda t: [(n, title, place, len(x)) for place, (n, title, x, _) in enumerate(C.chapters(t))]
+    return C.read_each(c.select("c_custkey", text.alias("text")), "text", read, "number int, title string, place int, size int", ["c_custkey"])
+
+
+@query("SELECT n_nationkey, 'Chapter ' || (n_nationkey + 1) AS title, CAST(n_nationkey + 1 AS INT) AS number, 600 AS size FROM nation")
+def split_markdown(spark, d):
+    """Markdown with a chapter, a deeper heading within it and an empty section."""
+    n = S.read(spark, d, "nation")
+    head = F.concat(F.lit("Chapter "), F.col("n_nationkey") + 1)
+    text = F.concat(F.lit("## "), head, F.lit("\n"), F.repeat(F.lit("a"), F.lit(590)), F.lit("\n\n## Notes"), F.lit("\n# Empty\nx\n"))
+    read = lambda t: [(title, number, len(x)) for number, title, x, _ in C.markdown_chapters(t)]
+    return C.read_each(n.select("n_nationkey", text.alias("text")), "text", read, "title string, number int, size int", ["n_nationkey"])

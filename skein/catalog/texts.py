@@ -206,7 +206,7 @@ def derived_grounding(spark, d):
     """Mentions in overlapping chunks of 110 characters that begin every 90."""
     x = extraction(spark, d)
     m = x.select("book", "chapter", F.col("name").alias("entity"), (F.col("event_id") % 50 * 10).alias("start"), (F.col("event_id") % 50 * 10 + F.length("name")).alias("end"))
-    chunks = x.select("book", "chapter").distinct().crossJoin(F.broadcast(spark.range(6).select(F.col("id").cast("int").alias("position")))).withColumn("chunk_start", F.col("position") * 90).withColumn("chunk_end", F.col("position") * 90 + 110)
+    chunks = x.select("book", "chapter").distinct().withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("chunk_start", F.col("position") * 90).withColumn("chunk_end", F.col("position") * 90 + 110)
     return K.derived_grounding(m, chunks).groupBy("book", "chapter", "entity", "position").agg(F.count("*").alias("n"))
 
 
@@ -222,7 +222,8 @@ def entity_noise(spark, d):
     import re
 
     rows = [(a.replace("''", "'"), b) for a, b in re.findall(r"\('((?:[^']|'')*)', '(\w+)', (?:'\w+'|NULL)\)", NOISE)]
-    names = spark.createDataFrame(rows, "name string, kind string").join(S.read(spark, d, "nation").select("n_nationkey"), F.lit(True))
+    listed = F.array(*(F.struct(F.lit(a).alias("name"), F.lit(b).alias("kind")) for a, b in rows))
+    names = S.read(spark, d, "nation").select(F.explode(listed).alias("x")).select("x.name", "x.kind")
     return names.withColumn("reason", K.rejected(F.col("name"), F.col("kind"))).groupBy("name", "kind", "reason").agg(F.count("*").alias("n"))
 
 

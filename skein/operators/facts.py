@@ -453,3 +453,18 @@ def parsed_json(raw: Column, schema: str) -> Column:
     """A model's JSON answer with or without a code fence; null where nothing parses."""
     bare = F.regexp_replace(F.trim(raw), r"^```[a-z]*\s*|\s*```$", "")
     return F.from_json(F.when(bare.rlike(r"^\s*[\[{]"), bare).otherwise(F.regexp_extract(raw, r"(?s)(\{.*\}|\[.*\])", 1)), schema)
+
+
+#: The phase that a change of the ontology calls for, by its kind (and layer), and whether its target's type is touched.
+PHASES = {("add_entity_type", "core"): 1, ("add_entity_type", "genre"): 2, ("add_entity_type", "series"): 3, ("add_regex", ""): 0, ("modify_property", ""): 4, ("add_property", ""): 4, ("add_relationship_type", ""): 4, ("add_relationship", ""): 4, ("extend_enum", ""): 4}
+TYPED_CHANGES = ["add_entity_type", "modify_property", "add_property", "extend_enum"]
+
+
+def impact_scope(changes: DataFrame) -> DataFrame:
+    """version, phases (sorted), types (sorted), new_patterns of the changes (version, change_type, layer, target) of each version."""
+    phase = F.create_map(*(F.lit(x) for (kind, layer), n in PHASES.items() for x in (f"{kind}/{layer}", n)))
+    own = F.concat_ws("/", "change_type", F.when(F.col("change_type") == "add_entity_type", F.col("layer")).otherwise(""))
+    shown = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return changes.groupBy("version").agg(
+        shown(phase[own].cast("string")).alias("phases"), shown(F.when(F.col("change_type").isin(TYPED_CHANGES), F.col("target"))).alias("types"), F.count(F.when(F.col("change_type") == "add_regex", 1)).alias("new_patterns"),
+    )
