@@ -26,7 +26,7 @@ def json_lines(nodes: DataFrame) -> DataFrame:
 
 def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage: book, chapter, model, tokens. Cost by (book, chapter), book, model and in all, as grouping sets."""
-    priced = usage.join(F.broadcast(prices), "model").withColumn("cost", (F.col("tokens") * F.col("price")).cast("decimal(38,6)"))
+    priced = usage.join(prices, "model").withColumn("cost", (F.col("tokens") * F.col("price")).cast("decimal(38,6)"))
     out = priced.groupingSets([["book", "chapter"], ["book"], ["model"], []], "book", "chapter", "model").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
     return out.withColumn("cost", F.round(F.col("cost").cast("double") / 1e6, 4))
 
