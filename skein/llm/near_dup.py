@@ -492,7 +492,7 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     every = scratch(spark, sketched(docs), "sketches")
-    classes = scratch(spark, every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")), "classes")
+    classes = scratch(spark, every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")), "classes")
     near = connected_components(candidate_edges(classes.select("digest", F.col("n"), "roots", "sketch"), percent))
     clusters = scratch(spark, near.select(F.col("node").alias("digest"), F.col("component").alias("cluster")).join(classes.select("digest", "first", "n"), "digest"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
@@ -506,8 +506,14 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     roots = scratch(spark, roots.distinct(), "roots")
     release(spark, members, wanted, clusters)
     first = roots.join(classes.select("digest", "first"), "digest").groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classes.select("digest", "first").join(roots.join(first, "root").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "first").alias("component_id"))
-    out = every.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = scratch(spark, classes.select("digest", "first", "copies").join(roots.join(first, "root").select("digest", "component_id"), "digest", "left").select("digest", "copies", F.coalesce("component_id", "first").alias("component_id")), "components")
+    # fewer than `parts` classes can each hold more than a share of 1 / parts of the rows, so this broadcast is bounded
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = F.col("copies") > max(every.count() // parts, 16)
+    looked = every.select("doc_id", "n_shingles", "digest").join(F.broadcast(of.where(many).select("digest", F.col("component_id").alias("_hot"))), "digest", "left")
+    rest = looked.where("_hot IS NULL").join(of.where(~many).select("digest", "component_id"), "digest", "left")
+    placed = rest.select("doc_id", "n_shingles", "component_id").unionByName(looked.where("_hot IS NOT NULL").select("doc_id", "n_shingles", F.col("_hot").alias("component_id")))
+    out = placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
