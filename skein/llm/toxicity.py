@@ -40,6 +40,8 @@ PER_CLASS, LONGEST = 3000, 50_000
 FIRST_BLOCKS = 2
 #: Terms with rows of weights; texts, and terms of theirs, that are searched at once.
 ROWS, AT_ONCE, TERMS_AT_ONCE = 1000, 64, 10_000
+#: Postings that are added up at a time.
+POSTINGS = 1 << 17
 #: Terms: words in lower case, cut to their first six letters, which joins inflected and compound forms.
 WORD = re.compile(r"(\w{1,6})\w*")
 
@@ -75,7 +77,7 @@ class BlockMaxIndex:
         block = self.docs // BLOCK
         first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (block[1:] != block[:-1])]) if len(of) else np.zeros(0, np.int64)
         #: an entry is a rare term in a block: its block, its first posting, their number, their largest weight
-        self.block, self.first, self.count = block[first], first, np.diff(np.r_[first, len(of)])
+        self.block, self.first, self.count = (x.astype(np.int32) for x in (block[first], first, np.diff(np.r_[first, len(of)])))
         self.top = np.maximum.reduceat(self.weights, first) if len(of) else np.zeros(0)
         self.begin = np.searchsorted(of[first], np.arange(terms + 1))
 
@@ -97,10 +99,15 @@ class BlockMaxIndex:
         bound = np.bincount(cell, own * self.top[entry], m * self.blocks).reshape(m, -1) + got.reshape(m, -1, BLOCK).max(2)
 
         def open_blocks(some: np.ndarray) -> None:
-            mine = np.flatnonzero(some.ravel()[cell])
-            count = self.count[entry[mine]]
-            at = ranges(self.first[entry[mine]], count)
-            got.ravel()[:] += np.bincount(self.docs[at] + np.repeat(of[mine] * width, count), self.weights[at] * np.repeat(own[mine], count), m * width)
+            chosen = np.flatnonzero(some.ravel()[cell])
+            ends = np.cumsum(self.count[entry[chosen]], dtype=np.int64)
+            cuts = np.searchsorted(ends, np.arange(POSTINGS, ends[-1] + POSTINGS, POSTINGS)) if len(ends) else []
+            for mine in np.split(chosen, cuts):  # so many postings at a time, however long the texts are
+                if len(mine):
+                    count = self.count[entry[mine]].astype(np.int64)
+                    at = ranges(self.first[entry[mine]].astype(np.int64), count)
+                    low, high = of[mine[0]] * width, (of[mine[-1]] + 1) * width  # entries go by query
+                    got.ravel()[low:high] += np.bincount(self.docs[at] + np.repeat(of[mine] * width - low, count), self.weights[at] * np.repeat(own[mine], count), high - low)
 
         def kth(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             seen = np.where(np.repeat(some, BLOCK, 1), got, 0)
