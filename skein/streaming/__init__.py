@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from skein.plans.storage import shared_folder
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files: a pattern as path takes either, a plain one only folders."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream; its zoneless times are taken as the session's zone, as a watermark needs one."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def finish(df: DataFrame, mode: str) -> DataFrame:
@@ -105,9 +110,11 @@ def ledger(spark: SparkSession, target: str) -> DataFrame:
 
 
 def conversation_memory(turns: DataFrame, keep: int = 20, every: int = 5) -> DataFrame:
-    """Per conversation over a stream of turns: how many there were, the last `keep` and how often a summary fell due.
+    """Per conversation over a stream of turns: how many there were, the last `keep` and how often a summary fell due; a row for
+    each batch that adds turns, the one with the most turns stands.
 
-    turns: conv_id, turn, role. The state of a conversation is bounded by `keep` turns.
+    turns: conv_id, turn, role. The last are those of the largest number, in whatever order they come; turns without a number
+    only count. The state of a conversation is bounded by `keep` turns.
     """
     from pyspark.sql.streaming.state import GroupState
 
@@ -117,10 +124,10 @@ def conversation_memory(turns: DataFrame, keep: int = 20, every: int = 5) -> Dat
         count, last = state.get if state.exists else (0, [])
         last = [int(x) for x in last]
         for f in frames:
-            for t in f.sort_values("turn")["turn"].tolist():
-                count, last = count + 1, [*last, int(t)][-keep:]
+            count, last = count + len(f), sorted([*last, *map(int, f["turn"].dropna().tolist())])[-keep:]
         state.update((count, last))
-        yield pd.DataFrame({"conv_id": [key[0]], "turns": [count], "first_kept": [min(last)], "kept": [len(last)], "summaries": [count // every]})
+        first = pd.array([last[0] if last else None], dtype="Int64")
+        yield pd.DataFrame({"conv_id": pd.array([key[0]], dtype="Int64"), "turns": [count], "first_kept": first, "kept": [min(count, keep)], "summaries": [count // every]})
 
     out, held = "conv_id long, turns long, first_kept long, kept int, summaries long", "count long, last array<long>"
     return turns.groupBy("conv_id").applyInPandasWithState(fold, out, held, "update", "NoTimeout")

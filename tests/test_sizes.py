@@ -1,5 +1,14 @@
 """What larger and odder tables showed: each would have failed before its change."""
 
+import os
+import shutil
+
+import duckdb
+from conftest import DATA, same
+from pyspark.sql import functions as F
+
+from skein import streaming as ST
+from skein.catalog import ORACLES, QUERIES
 from skein.operators import reads as R
 
 
@@ -17,3 +26,33 @@ def test_a_text_with_words_has_a_vector(spark):
     got = {r.key: r for r in R.embedded(spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()}
     assert [got[k].error for k in range(7)] == [None] * 4 + ["no words"] * 3
     assert all(abs(sum(x * x for x in got[k].vector) - 1) < 1e-6 for k in range(4))
+
+
+def test_conversations_in_a_folder_of_files(spark, tmp_path):
+    at = str(tmp_path)
+    rows = spark.read.parquet(f"{DATA}/conversations.parquet")
+    odd = spark.range(45).select(F.lit(10**9).alias("conv_id"), (F.col("id") * 7 % 45).cast("int").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
+    bare = spark.range(3).select(F.lit(10**9 + 1).alias("conv_id"), F.lit(None).cast("int").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
+    every = rows.unionByName(odd.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns))).unionByName(bare.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns)))
+    every.repartition(5).write.parquet(f"{at}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{at}/conversations.parquet/*.parquet'")
+    same(QUERIES["stream_conversation_memory"](spark, at), con, ORACLES["stream_conversation_memory"])
+
+
+def test_conversations_over_several_batches_and_frames(spark, tmp_path):
+    at = str(tmp_path / "turns")
+    os.mkdir(at)
+    for k in range(3):
+        part = str(tmp_path / f"part{k}")
+        spark.range(30).select(F.lit(1).cast("long").alias("conv_id"), ((F.col("id") * 11 % 30) * 3 + k).alias("turn"), F.lit("user").alias("role")).coalesce(1).write.parquet(part)
+        shutil.copy(next(f.path for f in os.scandir(part) if f.name.endswith(".parquet")), f"{at}/{k}.parquet")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        turns = spark.readStream.schema("conv_id long, turn long, role string").option("maxFilesPerTrigger", 1).parquet(at)
+        got = ST.finish(ST.conversation_memory(turns), "update").orderBy("turns").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [r.turns for r in got] == [30, 60, 90]
+    assert tuple(got[-1]) == (1, 90, 70, 20, 18)
