@@ -7,12 +7,14 @@ steps back if none is left, and marks the place as failed in a bitfield so that
 compatible if, while their merges are undone from the last to the first, no piece across their border is found that would
 have been merged earlier.
 
-The argument needs scores without ties. The pieces that share a score are runs of the space mark; a chunk that holds two
-of these marks in a row is therefore merged directly, and so is every chunk if a model has other ties.
+Of merges with equal scores, as those of runs of the space mark, the leftmost comes first: they share a rank, those of the
+left piece are older than those of the right one, and so is a merge across the border than an equal one to its right. This
+order of undoing holds for a piece whose own merges never go back in rank; if a model has others, a pair with one of them is
+told by merging its characters.
 
-Characters that are no piece become byte pieces, and decoding joins byte pieces to UTF-8 with U+FFFD for broken ones. As
-no piece has a space mark behind another character, a text is encoded word by word, and words are remembered in a bounded
-table.
+Characters that are no piece become byte pieces. The ids of the whole text are decoded, which joins byte pieces to UTF-8 with
+U+FFFD for broken ones. Where no piece has a space mark behind another character, a text is encoded word by word, and words
+are remembered in a bounded table.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the space mark U+2581 in a text counts as
 a space, as in the library, and decodes to one; texts of any length are encoded whole; repeated rows each get their row;
@@ -67,18 +69,25 @@ class MergePieces:
         self.unknown = unknown
         self.bytes = {i: b for b, i in enumerate(byte_ids)}
         self.ids = {n: i for i, n in enumerate(names) if i not in special and i not in self.bytes}
-        seen: dict[float, int] = {}
-        for i in self.ids.values():
-            seen[scores[i]] = seen.get(scores[i], 0) + 1
-        tied = [n for n, i in self.ids.items() if len(n) > 1 and seen[scores[i]] > 1]
-        self.always_merge = any(n.strip(SPACE) for n in tied) or any(re.search(f"[^{SPACE}]{SPACE}", n) for n in self.ids)
+        self.across_words = any(re.search(f"[^{SPACE}]{SPACE}", n) for n in self.ids)
         self.special = special
+        #: What an id, or its decimal string, decodes to; bytes beyond ASCII as escapes, None for what parts the bytes around it.
+        texts = {i: None if i in special else n.replace(SPACE, " ") for i, n in enumerate(names)}
+        texts |= {i: chr(b) if b < 128 else chr(0xDC00 + b) for i, b in self.bytes.items()}
+        self.texts = texts | {str(i): t for i, t in texts.items()}
+        self.id_text = {n: str(i) for n, i in self.ids.items()}
         order = sorted((n for n in self.ids if len(n) > 1), key=lambda n: (-scores[self.ids[n]], self.ids[n]))
-        self.rank = {n: -1 for n in self.ids if len(n) == 1} | {n: k for k, n in enumerate(order)}
-        self.halves = {n: h for n in order if (h := self.last_merge(n))}
+        place = {score: k for k, score in enumerate(sorted({scores[self.ids[n]] for n in order}, reverse=True))}
+        self.rank = {n: -1 for n in self.ids if len(n) == 1} | {n: place[scores[self.ids[n]]] for n in order}
+        self.halves, self.uneven = {}, set()
+        for n in order:
+            if done := self.last_merges(n):
+                self.halves[n] = done[-1]
+                ranks = [self.rank[a + b] for a, b in done]
+                if ranks != sorted(ranks):
+                    self.uneven.add(n)
         reachable = {n for n in self.ids if len(n) == 1 or n in self.halves}
-        self.id_text = {n: str(i) for n, i in self.ids.items()}
-        self.hard = [c for c in "\n\t" if not any(c in n for n in self.ids)]
+        self.hard = {c: (str(byte_ids[ord(c)]), self.join([byte_ids[ord(c)]])) for c in "\n\t" if not any(c in n for n in self.ids)}
         self.automaton = ahocorasick.Automaton()
         for n in reachable:
             self.automaton.add_word(n, n)
@@ -90,10 +99,10 @@ class MergePieces:
         self.insides = Remembered(lambda word: self.parted(word))
         self.both = Remembered(lambda word: self.parted(word, SPACE))
 
-    def last_merge(self, name: str) -> tuple[str, str] | None:
-        """The two pieces whose merging completes a piece; None if merging its characters ends otherwise."""
+    def last_merges(self, name: str) -> list[tuple[str, str]] | None:
+        """The merges of a piece in their order; None if merging its characters ends otherwise."""
         done: list[tuple[str, str]] = []
-        return done[-1] if self.merge(name, done) == [name] else None
+        return done if self.merge(name, done) == [name] else None
 
     def merge(self, text: str, done: list | None = None) -> list[str]:
         """The definition: join the neighbours whose piece has the best score, leftmost first, until none is a piece."""
@@ -150,6 +159,8 @@ class MergePieces:
         rank, halves, limit = self.rank, self.halves, len(self.rank)
         if left not in rank or right not in rank:
             return True
+        if self.uneven and (left in self.uneven or right in self.uneven):
+            return self.merge(left + right) == [left, right]
         while True:
             if rank.get(left + right, limit) < limit:
                 return False
@@ -162,14 +173,14 @@ class MergePieces:
                 return True
 
     def chunk(self, text: str) -> tuple[str, str]:
-        """Decimal ids, comma-joined, of a chunk with space marks at its beginning only, and the text that they decode to.
-
-        A character that is no piece becomes the bytes of its UTF-8, which decode to it again, so the pieces' names are the text.
-        """
-        names = self.merge(text) if self.always_merge or SPACE * 2 in text else self.backtrack(text)
-        known = self.id_text
-        ids = ",".join([known[n] if n in known else ",".join(str(self.byte_ids[b]) for b in n.encode("utf-8")) for n in names])
-        return ids, "".join(names).replace(SPACE, " ")
+        """Decimal ids, comma-joined, of a chunk, and the text that they decode to; a character that is no piece becomes the bytes
+        of its UTF-8."""
+        known, names = self.id_text, self.backtrack(text)
+        try:
+            ids = list(map(known.__getitem__, names))
+        except KeyError:
+            ids = [i for n in names for i in ([known[n]] if n in known else [str(self.byte_ids[b]) for b in n.encode("utf-8")])]
+        return ",".join(ids), self.join(ids)
 
     def parted(self, word: str, mark: str = "") -> tuple[str, str]:
         """Ids and text of a word; characters that no piece holds part it without effect on the rest."""
@@ -177,7 +188,7 @@ class MergePieces:
             if c in word:
                 head, *tail = word.split(c)
                 first = self.both[head] if mark else self.insides[head] if head else ("", "")
-                parts = [first, *(x for t in tail for x in ((str(self.byte_ids[ord(c)]), c), self.insides[t] if t else ("", "")))]
+                parts = [first, *(x for t in tail for x in (self.hard[c], self.insides[t] if t else ("", "")))]
                 return ",".join(ids for ids, _ in parts if ids), "".join(t for _, t in parts)
         return self.chunk(mark + word)
 
@@ -186,7 +197,7 @@ class MergePieces:
         if not text:
             return []
         text = text.replace(SPACE, " ")
-        if self.always_merge or not self.dummy_prefix:
+        if self.across_words or not self.dummy_prefix:
             return [self.chunk((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))]
         words = text.split(" ")
         if "" not in words:
@@ -197,25 +208,28 @@ class MergePieces:
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.code_parts(text) for i in ids.split(",")]
 
-    def join(self, ids: list[int]) -> str:
+    def join(self, ids: list[int] | list[str]) -> str:
         """Text of ids before the prefix is taken off; each byte that is not UTF-8 becomes U+FFFD, as in the library."""
-        out, raw = [], bytearray()
-        for i in [*ids, None]:
-            if (b := self.bytes.get(i)) is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(BROKEN.sub("\ufffd", raw.decode("utf-8", "surrogateescape")))
-                raw.clear()
-            if i is not None:
-                out.append(self.names[i].replace(SPACE, " ") if i not in self.special else UNKNOWN if i == self.unknown else "")
-        return "".join(out)
-
-    def decode(self, ids: list[int]) -> str:
+        try:
+            text = "".join(map(self.texts.__getitem__, ids))
+        except TypeError:  # control and unknown ids part the bytes around them
+            runs, marks = [[]], [""]
+            for i in map(int, ids):
+                if i in self.special:
+                    runs.append([])
+                    marks.insert(-1, UNKNOWN if i == self.unknown else "")
+                else:
+                    runs[-1].append(i)
+            return "".join(x for pair in zip(map(self.join, runs), marks, strict=True) for x in pair)
+        if text.isascii() or not BROKEN.search(text):
+            return text
+        return BROKEN.sub("\ufffd", text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape"))
+
+    def decode(self, ids: list[int] | list[str]) -> str:
         text = self.join(ids)
-        first = next((i for i in ids if i not in self.special), None)
+        first = next((int(i) for i in ids if self.texts[i] is not None), None)
         marked = first is not None and first not in self.bytes and self.names[first].startswith(SPACE)
-        return text[1:] if self.dummy_prefix and marked and ids[0] == first else text
+        return text[1:] if self.dummy_prefix and marked and int(ids[0]) == first else text
 
 
 @lru_cache(maxsize=2)
@@ -245,10 +259,10 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             counts, ids, texts = [], [], []
             for text in b.column(1).to_pylist():
-                parts = coder.code_parts(text)
-                joined = ",".join([x for x, _ in parts])
-                decoded = "".join([x for _, x in parts])[1:] if coder.dummy_prefix else "".join([x for _, x in parts])
-                counts.append(joined.count(",") + 1 if joined else 0)
+                joined = ",".join([x for x, _ in coder.code_parts(text)])
+                coded_ids = joined.split(",") if joined else []
+                decoded = coder.decode(coded_ids)
+                counts.append(len(coded_ids))
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -271,3 +271,44 @@ def test_quality_equals_plain_sizes(spark):
         x = (more + quality.PRIOR_BYTES * model["average"]) / (len(raw) + quality.PRIOR_BYTES)
         off = max(off, abs(got[r.doc_id] - 1 / (1 + math.exp(-(x * model["slope"] + model["intercept"])))))
     assert off < 0.02  # a dictionary that is digested beforehand may code a block by a few bytes otherwise
+
+
+def test_runs_of_spaces_and_tied_scores_are_backtracked(sp):
+    """Every chunk goes by compatible neighbours, which equals merging also where scores are tied or out of order."""
+    coder = pieces.from_model(pieces.model_path())
+    seen = []
+    coder_chunk = coder.backtrack
+    coder.backtrack = lambda text: seen.append(text) or coder_chunk(text)
+    try:
+        for n in range(2, 90):
+            for word in ("", "the", "é日x", "\n", "<s>", "İng"):
+                assert coder.encode(" " * n + word) == sp.encode(" " * n + word)
+                assert pieces.SPACE * (n + 1) + word in seen
+    finally:
+        del coder.backtrack
+    rng = random.Random(3)
+    for _ in range(60):
+        letters = f"ab{pieces.SPACE}"
+        made = sorted({"".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(rng.randint(3, 40))})
+        names = [f"<0x{b:02X}>" for b in range(256)] + list(letters) + made
+        own = pieces.MergePieces(names, [-float(rng.randint(0, 6)) for _ in names], list(range(256)), set(), -1)
+        for _ in range(60):
+            text = "".join(rng.choices(f"abc{pieces.SPACE}", k=rng.randint(1, 30)))
+            assert own.backtrack(text) == own.merge(text)
+
+
+def test_digests_of_texts_are_of_decoded_ids(spark, monkeypatch):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, "a\n  b é𝒳")], "doc_id long, text string")
+    coder = pieces.from_model(pieces.model_path())
+    plain, asked = coder.decode, []
+    monkeypatch.setattr(coder, "decode", lambda ids: asked.append(ids) or plain(ids), raising=False)
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f) or self)
+    pieces.coded(docs)
+    import pyarrow as pa
+
+    batch = next(run[0](iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a\n  b é𝒳"]})])))
+    assert [list(map(int, ids)) for ids in asked] == [coder.encode("a\n  b é𝒳")]
+    assert batch.column(3).to_pylist() == [hashlib.sha256(plain(asked[0]).encode()).hexdigest()]
