@@ -56,3 +56,35 @@ def test_conversations_over_several_batches_and_frames(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert [r.turns for r in got] == [30, 60, 90]
     assert tuple(got[-1]) == (1, 90, 70, 20, 18)
+
+
+def test_groups_of_a_search_leave_few_rows(spark, monkeypatch):
+    import numpy as np
+
+    from skein.operators import retrieval as V
+
+    monkeypatch.setattr(V, "ITEM_SHARD", 60)
+    monkeypatch.setattr(V, "SCORES_AT_ONCE", 500)
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet").limit(300).select("vec_id", "embedding", F.concat(F.lit("k"), F.nullif("label", F.lit(3))).alias("entity"))
+    rows = [(r.vec_id, r.entity, np.array(r.embedding, float)) for r in v.collect()]
+    odd = spark.createDataFrame([(90001, [0.0] * 64, "k1"), (90002, None, "k1")], "vec_id long, embedding array<float>, entity string")
+    items = v.unionByName(odd).withColumnRenamed("vec_id", "doc_id")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = {(r.query_id, r.entity): r.score for r in V.dense_groups(items, asked, "entity").collect()}
+    every = {}
+    for q, _, x in rows:
+        for i, m, y in rows:
+            if q % 20 == 0 and i != q:
+                every[q, m] = max(every.get((q, m), -2), x @ y / np.sqrt((x @ x) * (y @ y)))
+    assert got.keys() == every.keys() and all(abs(got[k] - every[k]) < 1e-9 for k in every)
+
+
+def test_graph_arm_takes_the_first_chunks_of_an_entity(spark):
+    entities = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.7), (2, "b", 0.8), (2, "c", 0.4)], "query_id long, entity string, score double")
+    ground = spark.createDataFrame([(e, i, i % 5) for e, first in (("a", 90), ("b", 0)) for i in range(first, first + 60)] * 2, "entity string, doc_id long, chapter int")
+    arm = R.graph_arm(entities, ground, 3, k=50)
+    got = {q: [(r.doc_id, r.score) for r in sorted(arm.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2)}
+    a, b = [i for i in range(90, 150) if i % 5 <= 3], [i for i in range(60) if i % 5 <= 3]
+    assert got == {1: [(i, 0.9) for i in a] + [(i, 0.7) for i in b[:2]], 2: [(i, 0.8) for i in b]}
+    plan = arm._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Join")[-1]
