@@ -88,3 +88,54 @@ def test_graph_arm_takes_the_first_chunks_of_an_entity(spark):
     assert got == {1: [(i, 0.9) for i in a] + [(i, 0.7) for i in b[:2]], 2: [(i, 0.8) for i in b]}
     plan = arm._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan.split("Join")[-1]
+
+
+def test_spans_of_a_long_chapter_are_told_apart_at_once():
+    import random
+    import time
+
+    from skein.operators import facts as K
+
+    r = random.Random(5)
+    for _ in range(400):
+        taken, spans = bytearray(12), []
+        for _ in range(4):
+            a = r.randint(0, 12)
+            b = r.randint(a, 12)
+            assert K.touches(taken, a, b) == any(x <= a < y or x < b <= y for x, y in spans)
+            K.take(taken, a, b)
+            spans.append((a, b))
+    text = "[Some thing here]\n\nLevel: 1 -> 2\n\n+3 Strength\n\n" * 15_000
+    begin = time.time()
+    assert len(K.shapes(text)) == 45_000 and len(K.facts(text)) == 45_000 and time.time() - begin < 20
+
+
+def test_quotes_of_a_long_chapter_share_its_text(spark):
+    import random
+    import time
+
+    from skein.operators import facts as K
+
+    r = random.Random(6)
+    for _ in range(300):
+        text, q = ("".join(r.choices("abcde ", k=r.randint(0, n))) for n in (30, 12))
+        q = (q + r.choice(["", "xx"])).strip()
+        assert K.Grounder(text).like(q) == (K.part_ratio(q, text) > 80)
+    text = "The next morning he walked on.\n\n" * 40_000
+    rows = [(1, k, "The next morning he walked on." if k % 2 else "§" * 18, 32 * k, 32 * k + 30) for k in range(2000)]
+    quotes = spark.createDataFrame(rows, "book long, position long, quote string, start int, stop int")
+    begin = time.time()
+    got = K.grounded(quotes, spark.createDataFrame([(1, text)], "book long, text string"), ["book"]).collect()
+    assert {(r.position, r.alignment) for r in got} == {(k, "exact" if k % 2 else "unaligned") for k in range(2000)} and time.time() - begin < 60
+
+
+def test_checked_names_carry_no_text(spark):
+    from skein.operators import facts as K
+
+    rows = [(1, "character", "Mara", "", ""), (1, "character", "mara", None, ""), (None, "item", "Mara", "", ""), (1, "item", None, "", ""), (2, "item", "Red Tower", "", ""), (1, "event", "Red Tower falls", "", ""), (1, "narrative_role", "old", "Jo", ""), (1, "narrative_role", "old", " Belka ", "")]
+    e = spark.createDataFrame([(*r, []) for r in rows], "chapter int, entity_type string, name string, character string, role_type string, participants array<string>")
+    out = K.verified(e, spark.createDataFrame([(1, "Old Mara and belka saw the red wall, tower of stone.")], "chapter int, text string"), spark.createDataFrame([("jorun",)], "name string"))
+    got = sorted((str(r.chapter), str(r.name), str(r.character), str(r.reason)) for r in out.collect())
+    assert got == sorted([("1", "Mara", "", "None"), ("1", "mara", "None", "None"), ("None", "Mara", "", "name_not_in_text"), ("1", "None", "", "empty_name"), ("2", "Red Tower", "", "name_not_in_text"), ("1", "Red Tower falls", "", "None"), ("1", "old", "Jo", "golem_character_not_found"), ("1", "old", " Belka ", "None")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_text") and not any("_text" in line and "_row" in line for line in plan.splitlines())
