@@ -139,3 +139,19 @@ def test_checked_names_carry_no_text(spark):
     assert got == sorted([("1", "Mara", "", "None"), ("1", "mara", "None", "None"), ("None", "Mara", "", "name_not_in_text"), ("1", "None", "", "empty_name"), ("2", "Red Tower", "", "name_not_in_text"), ("1", "Red Tower falls", "", "None"), ("1", "old", "Jo", "golem_character_not_found"), ("1", "old", " Belka ", "None")])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_text") and not any("_text" in line and "_row" in line for line in plan.splitlines())
+
+
+def test_copies_of_names_share_their_scores(spark, monkeypatch):
+    import random
+
+    from skein.operators import retrieval as V
+
+    r = random.Random(8)
+    names = [(k, " ".join(r.choices(["red", "blue", "Ring", "bolt", "rod", "hot"], k=r.randint(0, 3)))) for k in range(900)] + [(900, None)]
+    docs = spark.createDataFrame(names, "doc_id long, text string")
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+    assert plain(V.bm25_top(docs, asked, 1.5, 0.75, 5)) == plain(V.top(V.bm25(docs, asked, 1.5, 0.75), 5))
+    held = []
+    monkeypatch.setattr(V, "bm25", lambda *a: held.append(a))
+    assert QUERIES["bm25_names"](spark, DATA).count() and not held
