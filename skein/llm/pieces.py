@@ -13,8 +13,9 @@ order of undoing holds for a piece whose own merges never go back in rank; if a
 told by merging its characters.
 
 Characters that are no piece become byte pieces. The ids of the whole text are decoded, which joins byte pieces to UTF-8 with
-U+FFFD for broken ones. Where no piece has a space mark behind another character, a text is encoded word by word, and words
-are remembered in a bounded table.
+U+FFFD for broken ones. Where no piece has a space mark behind another character, a text is encoded in chunks: a space with the
+run of characters behind it that pieces may hold together. Two neighbours that no piece holds are never merged, so a text may be
+parted there. The ids of chunks are remembered in a bounded table.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the space mark U+2581 in a text counts as
 a space, as in the library, and decodes to one; texts of any length are encoded whole; repeated rows each get their row;
@@ -27,6 +28,7 @@ import hashlib
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,7 @@ from skein.llm.common import keyed_text, short_batches, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Entries of each of a worker's tables (words, parts of words, pairs of pieces); a full table keeps its newer half.
+#: Entries of a worker's table of pairs of pieces, and half of those of its table of chunks; a full table keeps its newer half.
 KEEP = 250_000
 #: Longer words are not remembered.
 LONG_KEY = 200
@@ -87,17 +89,25 @@ class MergePieces:
                 if ranks != sorted(ranks):
                     self.uneven.add(n)
         reachable = {n for n in self.ids if len(n) == 1 or n in self.halves}
-        self.hard = {c: (str(byte_ids[ord(c)]), self.join([byte_ids[ord(c)]])) for c in "\n\t" if not any(c in n for n in self.ids)}
+        self.cut = re.compile("  +[^ ]*| ?(?:" + "".join(f"[{re.escape(kin)}]+|" for kin in self.kin()) + ".)", re.DOTALL)
         self.automaton = ahocorasick.Automaton()
-        for n in reachable:
+        for n in sorted(reachable, key=self.ids.__getitem__):  # siblings are searched in this order: frequent ones first
             self.automaton.add_word(n, n)
         self.automaton.make_automaton()
         self.window = max(map(len, reachable), default=1)
         self.shorter = {n: next((n[:k] for k in range(len(n) - 1, 0, -1) if n[:k] in reachable), None) for n in reachable}
         self.longest = {n[:k]: next((n[:j] for j in range(k, 0, -1) if n[:j] in reachable), n[0]) for n in reachable for k in range(1, len(n) + 1)}
         self.compatible = Remembered(lambda pair: self.fits(*pair))
-        self.insides = Remembered(lambda word: self.parted(word))
-        self.both = Remembered(lambda word: self.parted(word, SPACE))
+        self.chunks = Remembered(self.chunk, 2 * KEEP)
+
+    def kin(self) -> list[str]:
+        """The characters but the space mark that have neighbours in pieces, in sets that no piece crosses; the largest sets first."""
+        sets: dict[str, set[str]] = {}
+        for n in self.ids:
+            if len(run := n.replace(SPACE, "")) > 1 and not set(run) <= sets.get(run[0], set()):
+                joined = set(run).union(*(sets.get(c, ()) for c in run))
+                sets |= dict.fromkeys(joined, joined)
+        return sorted({"".join(sorted(x)) for x in sets.values()}, key=lambda x: (-len(x), x))
 
     def last_merges(self, name: str) -> list[tuple[str, str]] | None:
         """The merges of a piece in their order; None if merging its characters ends otherwise."""
@@ -172,41 +182,36 @@ class MergePieces:
             else:
                 return True
 
-    def chunk(self, text: str) -> tuple[str, str]:
-        """Decimal ids, comma-joined, of a chunk, and the text that they decode to; a character that is no piece becomes the bytes
-        of its UTF-8."""
-        known, names = self.id_text, self.backtrack(text)
+    def chunk(self, text: str) -> tuple[str, ...]:
+        """Decimal ids of a chunk, with spaces or their marks; a character that is no piece becomes the bytes of its UTF-8."""
+        known, names = self.id_text, self.backtrack(text.replace(" ", SPACE))
         try:
-            ids = list(map(known.__getitem__, names))
+            return tuple(map(known.__getitem__, names))
         except KeyError:
-            ids = [i for n in names for i in ([known[n]] if n in known else [str(self.byte_ids[b]) for b in n.encode("utf-8")])]
-        return ",".join(ids), self.join(ids)
-
-    def parted(self, word: str, mark: str = "") -> tuple[str, str]:
-        """Ids and text of a word; characters that no piece holds part it without effect on the rest."""
-        for c in self.hard:
-            if c in word:
-                head, *tail = word.split(c)
-                first = self.both[head] if mark else self.insides[head] if head else ("", "")
-                parts = [first, *(x for t in tail for x in (self.hard[c], self.insides[t] if t else ("", "")))]
-                return ",".join(ids for ids, _ in parts if ids), "".join(t for _, t in parts)
-        return self.chunk(mark + word)
+            return tuple(i for n in names for i in ([known[n]] if n in known else [str(self.byte_ids[b]) for b in n.encode("utf-8")]))
 
-    def code_parts(self, text: str) -> list[tuple[str, str]]:
-        """The whole text, word by word: decimal ids, comma-joined, and the text that these ids decode to."""
+    def code_chunks(self, text: str) -> list[tuple[str, ...]]:
+        """The whole text, chunk by chunk: decimal ids."""
         if not text:
             return []
-        text = text.replace(SPACE, " ")
-        if self.across_words or not self.dummy_prefix:
-            return [self.chunk((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))]
-        words = text.split(" ")
-        if "" not in words:
-            return list(map(self.both.__getitem__, words))
-        chunks = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
-        return [self.both[x[1:]] if x[1:2] not in ("", SPACE) else self.chunk(x) for x in chunks]
+        text = (" " if self.dummy_prefix else "") + text.replace(SPACE, " ")
+        if self.across_words:
+            return [self.chunk(text)]
+        parts = self.cut.findall(text)
+        if "  " not in text:
+            return list(map(self.chunks.__getitem__, parts))
+        return [self.chunk(x) if x.startswith("  ") else self.chunks[x] for x in parts]
+
+    def code_parts(self, text: str) -> list[tuple[str, str]]:
+        """The whole text, chunk by chunk: decimal ids, comma-joined, and the text that these ids decode to."""
+        return [(",".join(ids), self.join(ids)) for ids in self.code_chunks(text)]
+
+    def code(self, text: str) -> list[str]:
+        """Decimal ids of the whole text."""
+        return list(chain.from_iterable(self.code_chunks(text)))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.code_parts(text) for i in ids.split(",")]
+        return list(map(int, self.code(text)))
 
     def join(self, ids: list[int] | list[str]) -> str:
         """Text of ids before the prefix is taken off; each byte that is not UTF-8 becomes U+FFFD, as in the library."""
@@ -221,9 +226,11 @@ class MergePieces:
                 else:
                     runs[-1].append(i)
             return "".join(x for pair in zip(map(self.join, runs), marks, strict=True) for x in pair)
-        if text.isascii() or not BROKEN.search(text):
-            return text
-        return BROKEN.sub("\ufffd", text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape"))
+        try:
+            text.encode("utf-8")
+        except UnicodeEncodeError:  # bytes of byte pieces
+            return BROKEN.sub("\ufffd", text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape"))
+        return text
 
     def decode(self, ids: list[int] | list[str]) -> str:
         text = self.join(ids)
@@ -259,11 +266,10 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             counts, ids, texts = [], [], []
             for text in b.column(1).to_pylist():
-                joined = ",".join([x for x, _ in coder.code_parts(text)])
-                coded_ids = joined.split(",") if joined else []
+                coded_ids = coder.code(text)
                 decoded = coder.decode(coded_ids)
                 counts.append(len(coded_ids))
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                ids.append(hashlib.sha256(",".join(coded_ids).encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -312,3 +312,29 @@ def test_digests_of_texts_are_of_decoded_ids(spark, monkeypatch):
     batch = next(run[0](iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a\n  b é𝒳"]})])))
     assert [list(map(int, ids)) for ids in asked] == [coder.encode("a\n  b é𝒳")]
     assert batch.column(3).to_pylist() == [hashlib.sha256(plain(asked[0]).encode()).hexdigest()]
+
+
+def test_a_word_is_backtracked_once_whatever_stands_beside_it(sp, monkeypatch):
+    """Texts are parted where no piece holds both neighbours, and only the ids of a whole text are decoded."""
+    coder, seen, joined = pieces.from_model.__wrapped__(pieces.model_path()), [], []
+    chunk, join = coder.backtrack, coder.join
+    monkeypatch.setattr(coder, "backtrack", lambda text: seen.append(text) or chunk(text), raising=False)
+    monkeypatch.setattr(coder, "join", lambda ids: joined.append(ids) or join(ids), raising=False)
+    text = 'thshing thshing, "thshing" thshing.\nthshing!! thshing\tthshing?é (thshing) thshing日thshing'
+    assert coder.encode(text) == sp.encode(text) and not joined
+    assert sorted(x for x in seen if "thshing" in x) == ["thshing", f"{pieces.SPACE}thshing"]
+    assert len(seen) == len(set(seen)) and coder.decode(coder.encode(text)) == text and len(joined) == 1
+
+
+def test_parted_texts_have_the_ids_of_the_whole():
+    rng, space, cuts = random.Random(5), pieces.SPACE, 0
+    for k in range(120):
+        made = sorted({("" if rng.random() < 0.6 else space * rng.randint(1, 2)) + "".join(rng.choices(rng.choice(["abd", "de", "f", "g-]^"]), k=rng.randint(1, 4))) for _ in range(rng.randint(3, 40))} | ({"a" + space} if k % 10 == 0 else set()))
+        names = [f"<0x{b:02X}>" for b in range(256)] + sorted({*"abdefg-]^", space}) + [n for n in made if len(n) > 1]
+        own = pieces.MergePieces(names, [-float(rng.randint(0, 9)) for _ in names], list(range(256)), set(), -1, k % 3 > 0)
+        for _ in range(60):
+            text = "".join(rng.choices("abcdefgh-]^\né  ", k=rng.randint(1, 30)))
+            whole = own.merge((space if k % 3 else "") + text.replace(" ", space))
+            assert own.encode(text) == [i for n in whole for i in ([own.ids[n]] if n in own.ids else n.encode())]
+            cuts += len(own.code_chunks(text)) > 1
+    assert cuts > 1000
